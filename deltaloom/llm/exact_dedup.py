@@ -43,10 +43,10 @@ def representatives(rows: DataFrame) -> DataFrame:
 class DigestIndex:
     """The persistent index: ``digest, keep_id, keep_row, group_size, batch``."""
 
-    def __init__(self, spark: SparkSession, name: str, buckets: int | None = None):
-        """``buckets``: fixed when the table is made; by default the number of shuffle partitions,
+    def __init__(self, spark: SparkSession, name: str, path: str | None = None, buckets: int | None = None):
+        """``path``: where the table lies, in the warehouse if not given. ``buckets``: fixed when the table is made; by default the number of shuffle partitions,
         so that a batch is dealt just as the index is stored."""
-        self.spark, self.name = spark, name
+        self.spark, self.name, self.path = spark, name, path
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def exists(self) -> bool:
@@ -69,15 +69,10 @@ class DigestIndex:
 
     def append(self, reps: DataFrame, batch: str) -> None:
         # dealt by digest into as many partitions as buckets, so that each task writes one file
-        (
-            reps.withColumn("batch", F.lit(batch))
-            .repartition(self.buckets, "digest")
-            .write.bucketBy(self.buckets, "digest")
-            .sortBy("digest")
-            .mode("append")
-            .format("parquet")
-            .saveAsTable(self.name)
-        )
+        out = reps.withColumn("batch", F.lit(batch)).repartition(self.buckets, "digest").write.format("parquet")
+        if self.path:
+            out = out.option("path", self.path)
+        out.bucketBy(self.buckets, "digest").sortBy("digest").mode("append").saveAsTable(self.name)
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, exact_dedup
-from ._io import stage, table
+from ._io import new_path, stage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -58,8 +58,8 @@ FROM sized GROUP BY conv_id
 
 @query
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = exact_dedup.DigestIndex(spark, "deltaloom_digests_op6")
-    index.drop()
+    path = new_path(spark, "digest_index")
+    index = exact_dedup.DigestIndex(spark, path.rpartition("/")[2].replace("-", "_"), path)
     rows = stage(exact_dedup.digests(table(spark, sf_dir, "documents")), "digests")
     return exact_dedup.assign(rows, index.add(rows, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
