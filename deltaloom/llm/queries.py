@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup
+from . import bpe, chat_format, decontaminate, exact_dedup
 from ._io import new_path, stage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +72,57 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
        doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
+
+
+@query
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    hit = decontaminate.covered(F.col("spans"))
+    return found.select(
+        F.col("doc.doc_id").alias("doc_id"),
+        "n_words",
+        hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+        (hit > 0).alias("contaminated"),
+    )
+
+
+SQL["op8_decontaminate"] = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
+), b1 AS (
+  SELECT item_id, ws, least(10, len(ws)) AS m FROM b WHERE len(ws) > 0
+), w AS (
+  SELECT DISTINCT item_id, m, array_to_string(ws[i : i + m - 1], ' ') AS g
+  FROM (SELECT item_id, ws, m, unnest(generate_series(1, len(ws) - m + 1)) AS i FROM b1)
+), hits AS (
+  SELECT DISTINCT doc_id, i, m, item_id
+  FROM (SELECT doc_id, m, i, array_to_string(ws[i : i + m - 1], ' ') AS g
+        FROM (SELECT doc_id, ws, m, unnest(generate_series(1, len(ws) - m + 1)) AS i FROM d, (SELECT DISTINCT m FROM w) WHERE len(ws) >= m))
+  JOIN w USING (m, g)
+), pos AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT doc_id, i, unnest(generate_series(0, m - 1)) AS k FROM (SELECT DISTINCT doc_id, i, m FROM hits)) GROUP BY doc_id
+), own AS (
+  SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id
+)
+SELECT d.doc_id, len(ws) AS n_words, coalesce(pos.n, 0) AS n_hit, coalesce(own.n, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(pos.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN own USING (doc_id)
+"""
+
+
+@query
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def digest(enc: bpe.Encoder, text: str | None):
+        ids = enc.encode(text)
+        written = ",".join(map(enc.strings.__getitem__, ids))
+        back = enc.decode(ids).encode()
+        return len(ids), hashlib.sha256(written.encode()).hexdigest(), hashlib.sha256(back).hexdigest()
+
+    return bpe.map_texts(
+        table(spark, sf_dir, "documents"), "n_tokens long, ids_sha256 string, decoded_sha256 string", digest
+    )
