@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, exact_dedup, simhash
+from . import bpe, chat_format, decontaminate, exact_dedup, quality, simhash
 from ._io import new_path, stage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +132,9 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.map_texts(
         table(spark, sf_dir, "documents"), "n_tokens long, ids_sha256 string, decoded_sha256 string", digest
     )
+
+
+@query
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select(F.col("doc.doc_id").alias("doc_id"), "p_text", "p_page", "score", "keep")
