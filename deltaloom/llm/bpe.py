@@ -37,7 +37,7 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 OTHERS = regex.compile(r"[^\x00-\x1b\x20-\u052f\u2000-\u205e\u3041-\u3096\u30a1-\u30ff\u4e00-\u9fa5\uac00-\ud7a3]").search
 
 #: Entries that a worker remembers before it forgets them all.
-CACHE = 400_000
+CACHE = 800_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -99,13 +99,13 @@ class MergeAutomaton:
     def word(self, raw: bytes) -> tuple[int, ...]:
         """The ids of a pre-split word."""
         whole = self.ids.get(raw)
-        if whole is not None and len(raw) == 1:
+        if whole is not None and self.whole(whole):
             return (whole,)
         n, ids, follows, size = len(raw), self.ids, self.follows, self.size
         last = [-1] * (n + 1)
         came = [0] * (n + 1)
         for i in range(1, n + 1):
-            for s in range(max(0, i - self.longest), i):
+            for s in range(i - 1, max(0, i - self.longest) - 1, -1):
                 x = ids.get(raw[s:i])
                 if x is None:
                     continue
@@ -113,7 +113,7 @@ class MergeAutomaton:
                     key = last[s] * size + x
                     ok = follows.get(key)
                     if ok is None:
-                        if len(follows) > 4 * CACHE:
+                        if len(follows) > 2 * CACHE:
                             follows.clear()
                         ok = follows[key] = self._arc(last[s], x)
                     if not ok:
