@@ -40,8 +40,8 @@ CAPITALS, DIGITS = bytes(range(65, 91)), bytes(range(48, 58))
 class Sizes:
     """Bounds of what is fitted on."""
 
-    labelled: int = 12_000
-    pool: int = 4_000
+    labelled: int = 9_000
+    pool: int = 3_000
     rounds: int = 3
     confident: float = 0.97
     per_round: int = 400

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, exact_dedup, quality, simhash
+from . import bpe, chat_format, decontaminate, exact_dedup, quality, secrets, simhash, warc
 from ._io import new_path, stage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +138,45 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select(F.col("doc.doc_id").alias("doc_id"), "p_text", "p_page", "score", "keep")
+
+
+@query
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    sure = F.filter("spans", lambda x: x["kind"] != "model")
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    said = lambda spans: F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))))
+    return found.select(
+        "doc_id", *map(count, ("assign", "access", "hex")), F.sha2(said(sure), 256).alias("base_sha256"), said(F.col("spans")).alias("spans")
+    )
+
+
+@query
+def op1_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' archive against a replica in which every 97th page id has a damaged last byte and every
+    211th is lost."""
+    whole = warc.archive(table(spark, sf_dir, "pages"))
+    hurt = F.col("page_id") % 97 == 13
+    bad = F.concat(F.expr("substring(record, 1, length(record) - 1)"), F.encode(F.lit("X"), "UTF-8"))
+    replica = whole.filter("page_id IS NULL OR page_id % 211 <> 5").select("offset", F.when(hurt, bad).otherwise(F.col("record")).alias("record"))
+    found = warc.audit(whole.select("offset", "record"), replica)
+    return found.join(whole.select("offset", "page_id", "length"), "offset").select(
+        "page_id", "offset", "length", "kind", "expected", "found"
+    )
+
+
+SQL["op1_warc_audit"] = r"""
+WITH r AS (
+  SELECT DISTINCT page_id, 'WARC/1.0' || n || 'WARC-Type: response' || n || 'WARC-Record-ID: <urn:page:' || coalesce(page_id::VARCHAR, '') || '>' || n
+    || 'WARC-Target-URI: ' || coalesce(url, '') || n || 'Content-Type: text/html' || n || 'Content-Length: '
+    || octet_length(encode(coalesce(html, '')))::VARCHAR || n || n || coalesce(html, '') || n || n AS record
+  FROM pages, (SELECT chr(13) || chr(10) AS n)
+), o AS (
+  SELECT page_id, record, octet_length(encode(record))::BIGINT AS length, sha256(record) AS expected FROM r
+), p AS (
+  SELECT *, (sum(length) OVER (ORDER BY page_id NULLS FIRST, expected ROWS UNBOUNDED PRECEDING) - length)::BIGINT AS "offset" FROM o
+)
+SELECT page_id, "offset", length, CASE WHEN page_id % 211 = 5 THEN 'missing' ELSE 'corrupt' END AS kind, expected,
+       CASE WHEN page_id % 211 = 5 THEN NULL ELSE sha256(left(record, length(record) - 1) || 'X') END AS found
+FROM p WHERE page_id % 97 = 13 OR page_id % 211 = 5
+"""
