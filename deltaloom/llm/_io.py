@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -32,8 +34,12 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     whatever would differ between two evaluations (row ids, sampled rows).
     """
     spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
+    path, before = new_path(spark, label), spark.conf.get(CLEAN, "false")
+    spark.conf.set(CLEAN, "true")  # what was shuffled for this table is not needed beyond it
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

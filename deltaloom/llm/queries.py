@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, exact_dedup, quality, secrets, simhash, warc
+from . import bpe, chat_format, decontaminate, exact_dedup, quality, secrets, simhash, substring, warc
 from ._io import new_path, stage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -180,3 +180,29 @@ SELECT page_id, "offset", length, CASE WHEN page_id % 211 = 5 THEN 'missing' ELS
        CASE WHEN page_id % 211 = 5 THEN NULL ELSE sha256(left(record, length(record) - 1) || 'X') END AS found
 FROM p WHERE page_id % 97 = 13 OR page_id % 211 = 5
 """
+
+
+@query
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.col("doc.doc_id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL["op5_substring_dedup"] = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), g AS (
+  SELECT doc_id, i, md5(array_to_string(ws[i : i + 49], ' ')) AS h
+  FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 49)) AS i FROM d WHERE len(ws) >= 50)
+), f AS (
+  SELECT h, min(doc_id) AS least FROM g GROUP BY h
+), lost AS (
+  SELECT DISTINCT doc_id, i + k AS p FROM (SELECT g.doc_id, g.i FROM g JOIN f USING (h) WHERE least < g.doc_id), (SELECT unnest(generate_series(0, 49)) AS k)
+), kept AS (
+  SELECT w.doc_id, string_agg(w.word, ' ' ORDER BY w.p) AS text, count(*) AS n
+  FROM (SELECT doc_id, unnest(ws) AS word, unnest(generate_series(1, len(ws))) AS p FROM d) w ANTI JOIN lost ON lost.doc_id = w.doc_id AND lost.p = w.p
+  GROUP BY w.doc_id
+)
+SELECT d.doc_id, len(ws) AS n_words, len(ws) - coalesce(kept.n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
