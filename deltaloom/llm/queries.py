@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, exact_dedup, quality, secrets, simhash, substring, warc
+from . import bpe, chat_format, decontaminate, exact_dedup, quality, secrets, simhash, substring, token_files, warc
 from ._io import new_path, stage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -206,3 +207,9 @@ WITH d AS (
 SELECT d.doc_id, len(ws) AS n_words, len(ws) - coalesce(kept.n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)
 """
+
+
+@query
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = token_files.write(table(spark, sf_dir, "documents"))
+    return token_files.each_document(shards, "ids_crc32 long", lambda ids: zlib.crc32(ids.tobytes()))
