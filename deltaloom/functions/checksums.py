@@ -7,6 +7,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 #: Polynomial and start of the 16-bit check (CCITT, reflected input is not used).
 CRC16_POLY, CRC16_START = 0x1021, 0xFFFF
@@ -36,12 +37,12 @@ def adler32(data: bytes) -> int:
     return zlib.adler32(data)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def crc16_of(data: pd.Series) -> pd.Series:
     return data.map(crc16, na_action="ignore")
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def adler32_of(data: pd.Series) -> pd.Series:
     return data.map(adler32, na_action="ignore")
 
