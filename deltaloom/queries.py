@@ -339,3 +339,184 @@ def convert_contracts(spark, sf_dir):
 def metadata_requests(spark, sf_dir):
     asked = have(spark, sf_dir).withColumnRenamed("have", "asked").crossJoin(F.broadcast(dims.formats(spark).select("format")))
     return convert.metadata(asked, dims.metadata(spark))
+
+
+def document_pairs(spark, sf_dir):
+    """(pair_id, source, target): every document's bytes and those of the one before it, whole."""
+    from .operators import images
+
+    return images.neighbours(images.documents(table(spark, sf_dir, "documents")))
+
+
+PAIRS = """, im AS (SELECT doc_id, text, encode(coalesce(text, '')) AS b, row_number() OVER (ORDER BY doc_id) AS rank FROM documents),
+  pr AS (SELECT t.doc_id AS pair_id, s.b AS source, t.b AS target, coalesce(s.text, '') AS source_text, coalesce(t.text, '') AS target_text, octet_length(s.b)::BIGINT AS sn, octet_length(t.b)::BIGINT AS tn FROM im s JOIN im t ON t.rank = s.rank + 1)
+"""
+
+#: Whether a format can carry a pair, as the oracle has it. Texts have no zero bytes.
+CARRIES = {
+    "IPS32": "tn >= sn", "EBP": "tn >= sn", "PPF4": "tn >= sn", "NINJA1": "tn >= sn", "PMSR": "tn >= sn",
+    "PPF2": "tn >= sn AND sn >= 38688", "UPS": "tn >= sn",
+}
+
+
+def edited_documents(spark, sf_dir):
+    """(pair_id, source, target): every document's bytes, and the same with its vowels in capitals, for formats
+    that cannot change an image's size."""
+    from .operators import images
+
+    docs = table(spark, sf_dir, "documents")
+    shouted = docs.withColumn("text", F.translate("text", "aeiou", "AEIOU"))
+    both = [images.documents(d).withColumnRenamed("bytes", n) for d, n in ((docs, "source"), (shouted, "target"))]
+    return both[0].join(both[1], "image_id").withColumnRenamed("image_id", "pair_id")
+
+
+EDITS = """, pr AS (SELECT doc_id AS pair_id, encode(coalesce(text, '')) AS source, encode(translate(coalesce(text, ''), 'aeiou', 'AEIOU')) AS target FROM documents)
+"""
+SAME_SIZE = ("PPF1", "PPF3")
+
+
+def pairs_for(fmt: str):
+    return (edited_documents, EDITS, "TRUE") if fmt in SAME_SIZE else (document_pairs, PAIRS, CARRIES.get(fmt, "TRUE"))
+
+
+def round_trip(fmt: str):
+    """Creates a patch for every pair, detects, parses and applies it: what comes out, by its SHA-1."""
+    of_pairs, view, ok = pairs_for(fmt)
+
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from .operators import apply, create
+
+        pairs = of_pairs(spark, sf_dir).withColumnRenamed("pair_id", "id")
+        made = create.create_patches(pairs, fmt).withColumnRenamed("error", "refused")
+        both = made.join(pairs.select("id", F.col("source").alias("image")), "id")
+        done = apply.apply_patches(both.filter("patch IS NOT NULL")).select("id", F.sha1("output").alias("sha1"))
+        return made.select("id", F.col("refused").isNotNull().alias("refused")).join(done, "id", "left").select(F.col("id").alias("pair_id"), "refused", "sha1")
+
+    name = "round_trip_" + fmt.lower().replace("-", "_")
+    QUERIES[name] = f
+    SQL[name] = "WITH " + RECORDS + view + f"SELECT pair_id, NOT ({ok}) AS refused, CASE WHEN {ok} THEN sha1(target) END AS sha1 FROM pr"
+
+
+for _fmt in [x[0] for x in dims.FORMATS]:
+    round_trip(_fmt)
+
+
+def undone(fmt: str):
+    """Creates a patch for every pair it can carry, and takes it off the target again."""
+    of_pairs, view, ok = pairs_for(fmt)
+
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from .operators import apply, create
+
+        pairs = of_pairs(spark, sf_dir).withColumnRenamed("pair_id", "id")
+        made = create.create_patches(pairs, fmt).filter("patch IS NOT NULL").select("id", "format", "patch")
+        both = made.join(pairs.select("id", F.col("target").alias("image")), "id")
+        return apply.apply_patches(both, backwards=True).select(F.col("id").alias("pair_id"), F.sha1("output").alias("sha1"))
+
+    name = "undo_" + fmt.lower()
+    QUERIES[name] = f
+    SQL[name] = "WITH " + RECORDS + view + f"SELECT pair_id, sha1(source) AS sha1 FROM pr WHERE {ok}"
+
+
+for _fmt in ("UPS", "PPF3", "NINJA2"):
+    undone(_fmt)
+
+
+def chunks(spark, sf_dir, size=4096):
+    from .operators import diff
+
+    pairs = document_pairs(spark, sf_dir)
+    return diff.chunked(pairs, "pair_id", "source", size), diff.chunked(pairs, "pair_id", "target", size), pairs
+
+
+BYTES = PAIRS + """, cs AS (SELECT pair_id, sn, tn, [CAST('0x' || x AS INTEGER) FOR x IN regexp_extract_all(hex(source), '..')] AS s, [CAST('0x' || x AS INTEGER) FOR x IN regexp_extract_all(hex(target), '..')] AS t FROM pr),
+  bt AS (SELECT pair_id, unnest(t) AS b, unnest(s || list_resize([]::INTEGER[], greatest(0, tn - sn)::BIGINT)) AS a, unnest(generate_series(0, greatest(sn, tn) - 1)) AS pos, tn FROM cs),
+  df AS (SELECT pair_id, pos, pos - lag(pos) OVER (PARTITION BY pair_id ORDER BY pos) AS step FROM bt WHERE pos < tn AND a IS DISTINCT FROM b)
+"""
+
+
+def islands_sql(gap: int) -> str:
+    return f""", il AS (SELECT pair_id, pos, sum(CASE WHEN step > {gap + 1} THEN 1 ELSE 0 END) OVER (PARTITION BY pair_id ORDER BY pos) AS island FROM df),
+  hk AS (SELECT pair_id, min(pos)::BIGINT AS start, max(pos)::BIGINT + 1 AS "end" FROM il GROUP BY pair_id, island)
+"""
+
+
+@query(BYTES + islands_sql(5) + 'SELECT pair_id, start, "end" FROM hk')
+def diff_hunks(spark, sf_dir):
+    from .operators import diff
+
+    source, target, _ = chunks(spark, sf_dir)
+    return diff.hunks(source, target, 5, chunk=4096)
+
+
+@query(BYTES + islands_sql(5) + """, tl AS (SELECT *, coalesce(lag("end") OVER (PARTITION BY pair_id ORDER BY start), 0) AS before FROM hk), la AS (SELECT pair_id, max("end") AS start FROM hk GROUP BY pair_id)
+  SELECT pair_id, start, "end", 'data' AS op FROM hk UNION ALL SELECT pair_id, before, start, 'copy' FROM tl WHERE start > before
+  UNION ALL SELECT pr.pair_id, coalesce(la.start, 0), tn, 'copy' FROM pr LEFT JOIN la USING (pair_id) WHERE tn > coalesce(la.start, 0)""")
+def copy_data_tiles(spark, sf_dir):
+    from .operators import diff
+
+    source, target, pairs = chunks(spark, sf_dir)
+    sizes = pairs.select("pair_id", F.octet_length("target").cast("long").alias("target_size"))
+    return diff.tiles(diff.hunks(source, target, 5, chunk=4096), sizes)
+
+
+@query(BYTES + """, df2 AS (SELECT pair_id, pos, pos - lag(pos) OVER (PARTITION BY pair_id ORDER BY pos) AS step FROM bt WHERE coalesce(a, 0) <> coalesce(b, 0)),
+  il AS (SELECT pair_id, pos, sum(CASE WHEN step > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY pair_id ORDER BY pos) AS island FROM df2),
+  hk AS (SELECT pair_id, min(pos)::BIGINT AS start, max(pos)::BIGINT + 1 AS "end" FROM il GROUP BY pair_id, island)
+  SELECT pair_id, start, "end", start - coalesce(lag("end") OVER (PARTITION BY pair_id ORDER BY start) + 1, 0) AS skip FROM hk""")
+def xor_blocks(spark, sf_dir):
+    from .operators import diff
+
+    source, target, _ = chunks(spark, sf_dir)
+    return diff.xor_blocks(source, target, chunk=4096)
+
+
+@query(BYTES + "SELECT DISTINCT pair_id, pos // 4096 AS chunk_no FROM bt WHERE coalesce(a, 0) <> coalesce(b, 0)")
+def changed_blocks(spark, sf_dir):
+    from .operators import diff
+
+    source, target, _ = chunks(spark, sf_dir)
+    return diff.changed_blocks(source, target)
+
+
+@query(""", cs AS (SELECT doc_id AS image_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS xs FROM documents),
+  bt AS (SELECT image_id, unnest(xs) AS x, unnest(generate_series(0, len(xs) - 1)) AS pos FROM cs WHERE len(xs) > 0),
+  st AS (SELECT *, CASE WHEN x = lag(x) OVER (PARTITION BY image_id ORDER BY pos) THEN 0 ELSE 1 END AS fresh FROM bt),
+  il AS (SELECT *, sum(fresh) OVER (PARTITION BY image_id ORDER BY pos) AS run FROM st)
+  SELECT image_id, min(pos)::BIGINT AS start, max(pos)::BIGINT + 1 AS "end", CAST('0x' || any_value(x) AS INTEGER) AS value FROM il GROUP BY image_id, run HAVING count(*) >= 4""")
+def byte_runs(spark, sf_dir):
+    from .operators import diff, images
+
+    return diff.byte_runs(images.documents(table(spark, sf_dir, "documents")))
+
+
+@query(""", im AS (SELECT doc_id AS image_id, encode(coalesce(text, '')) AS b FROM documents)
+  SELECT image_id, octet_length(b)::BIGINT AS size, md5(b) AS md5, sha1(b) AS sha1 FROM im""")
+def image_digests(spark, sf_dir):
+    from .functions import checksums
+    from .operators import images
+
+    return images.documents(table(spark, sf_dir, "documents")).select("image_id", *[c for k, c in enumerate(checksums.digests(F.col("bytes"))) if k != 1])
+
+
+@query(""", im AS (SELECT doc_id AS image_id, hex(encode(coalesce(text, ''))) AS h FROM documents)
+  SELECT image_id, sha1(CASE WHEN length(h) // 2 > 1024 THEN left(h, 1024) || right(h, 512) || '.' || (length(h) // 2)::VARCHAR ELSE h END) AS sample FROM im""")
+def hash_samples(spark, sf_dir):
+    """The sample of large images, at a small scale; hex, as the oracle compares texts."""
+    from .functions import checksums
+    from .operators import images
+
+    rows = images.documents(table(spark, sf_dir, "documents"))
+    size = F.octet_length("bytes")
+    sample = checksums.hash_sample(F.col("bytes"), 1024, 512, 256)
+    large = F.concat(F.hex(sample.substr(F.lit(1), F.lit(768))), F.lit("."), size.cast("string"))
+    return rows.select("image_id", F.sha1(F.when(size > 1024, large).otherwise(F.hex("bytes"))).alias("sample"))
+
+
+@query(""", im AS (SELECT doc_id AS image_id, hex(encode(coalesce(text, ''))) AS h FROM documents)
+  SELECT image_id, CASE WHEN length(h) > 128 THEN left(h, 128) || '...' ELSE h END AS dump, length(h) >= 8 AND h = repeat(left(h, 2), length(h) // 2) AS one_byte FROM im""")
+def hex_dumps(spark, sf_dir):
+    from .functions import display
+    from .operators import images
+
+    return images.documents(table(spark, sf_dir, "documents")).select("image_id", display.hex_dump(F.col("bytes")).alias("dump"), records.runs_of_one_byte(F.col("bytes")).alias("one_byte"))
