@@ -520,3 +520,114 @@ def hex_dumps(spark, sf_dir):
     from .operators import images
 
     return images.documents(table(spark, sf_dir, "documents")).select("image_id", display.hex_dump(F.col("bytes")).alias("dump"), records.runs_of_one_byte(F.col("bytes")).alias("one_byte"))
+
+
+def reassembled(chunked: DataFrame, key: str) -> DataFrame:
+    """Whole images of their chunks, in order."""
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("chunk_no", "bytes"))), lambda c: F.hex(c["bytes"]))
+    return chunked.groupBy(key).agg(F.unhex(F.array_join(parts, "")).alias("bytes"))
+
+
+def overlaid(how: str):
+    """Hunks of edited documents, put on the chunks of the originals."""
+
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from .operators import apply, diff
+
+        pairs = edited_documents(spark, sf_dir)
+        source, target = (diff.chunked(pairs, "pair_id", c, 4096) for c in ("source", "target"))
+        size = (F.col("end") - F.col("start")).cast("int")
+        at = (F.col("start") + 1).cast("int")
+        found = diff.hunks(source, target, 5, chunk=4096).join(pairs, "pair_id")
+        found = found.withColumn("ordinal", F.row_number().over(Window.partitionBy("pair_id").orderBy("start")))
+        old, new = (F.col(c).substr(at, size) for c in ("source", "target"))
+        images = source.withColumnRenamed("pair_id", "image_id")
+        base = found.select(F.col("pair_id").alias("image_id"), F.col("start").alias("off"), "ordinal", old.alias("old"), new.alias("new"))
+        if how == "overlay":
+            # what is written twice ends as what is written last
+            wrong = base.select("image_id", "off", F.lit(-1).alias("ordinal"), F.col("old").alias("payload"))
+            done = apply.overlay_chunks(images, base.select("image_id", "off", "ordinal", F.col("new").alias("payload")).unionByName(wrong), 4096)
+        else:
+            masks = base.select("image_id", "off", "ordinal", "new", "old").select("image_id", "off", "ordinal", mask(F.col("old"), F.col("new")).alias("payload"))
+            done = apply.xor_chunks(images, masks, 4096)
+        return reassembled(done, "image_id").select(F.col("image_id").alias("pair_id"), F.sha1("bytes").alias("sha1"))
+
+    QUERIES[f"{how}_chunks"] = f
+    SQL[f"{how}_chunks"] = "WITH " + RECORDS + EDITS + "SELECT pair_id, sha1(target) AS sha1 FROM pr"
+
+
+def mask(a, b):
+    """The exclusive or of two byte columns."""
+    from .operators.create import masked
+
+    @F.pandas_udf("binary")
+    def f(x, y):
+        return x.combine(y, lambda p, q: masked(p, q, 0, len(q)))
+
+    return f(a, b)
+
+
+for _how in ("overlay", "xor"):
+    overlaid(_how)
+
+
+@query(BYTES + islands_sql(5) + """SELECT pair_id AS patch_id, count(*) AS n_hunks, sum("end" - start)::BIGINT AS n_bytes, min(start) AS first, max("end") AS last FROM hk JOIN pr USING (pair_id) WHERE tn >= sn GROUP BY pair_id""")
+def parsed_regions(spark, sf_dir):
+    """Patches made of document pairs, read back as records and summed up as regions."""
+    from .operators import create
+    from .sources import containers
+
+    pairs = document_pairs(spark, sf_dir).withColumnRenamed("pair_id", "id")
+    made = create.create_patches(pairs, "IPS32").filter("patch IS NOT NULL").select(F.col("id").alias("patch_id"), F.col("patch").alias("content"))
+    rows = containers.regions(containers.records(made))
+    # records of one hunk follow each other without a gap of more than the format closes
+    w = Window.partitionBy("patch_id").orderBy("ordinal")
+    fresh = F.coalesce((F.col("off") - F.lag(F.col("off") + F.col("len")).over(w) > 5).cast("int"), F.lit(1))
+    return rows.withColumn("fresh", fresh).groupBy("patch_id").agg(
+        F.sum("fresh").alias("n_hunks"), F.sum("len").alias("n_bytes"), F.min("off").alias("first"), F.max(F.col("off") + F.col("len")).alias("last")
+    )
+
+
+DETECTED = [f[0] for f in dims.FORMATS]
+
+
+@query(PAIRS + "SELECT made, made AS detected, sum(ok)::BIGINT AS n FROM (" + " UNION ALL ".join(f"SELECT '{f}' AS made, count(*) FILTER ({CARRIES.get(f, 'sn = tn' if f in SAME_SIZE else 'TRUE')}) AS ok FROM pr" for f in DETECTED) + ") GROUP BY made HAVING sum(ok) > 0")
+def detected_formats(spark, sf_dir):
+    """A patch of every format for every pair, and what it is taken for."""
+    from functools import reduce
+
+    from .operators import create, images
+    from .sources import containers
+
+    pairs = document_pairs(spark, sf_dir).withColumnRenamed("pair_id", "id")
+    made = reduce(DataFrame.unionByName, [create.create_patches(pairs, f) for f in DETECTED]).filter("patch IS NOT NULL")
+    numbered = made.select((F.col("id") * 100 + F.element_at(F.create_map(*[F.lit(x) for k, f in enumerate(DETECTED) for x in (f, k)]), F.col("format"))).alias("patch_id"), F.col("patch").alias("content"))
+    found = containers.headers(numbered).select((F.col("patch_id") % 100).cast("int").alias("k"), F.col("format").alias("detected"))
+    names = F.array(*map(F.lit, DETECTED))
+    return found.select(F.element_at(names, F.col("k") + 1).alias("made"), "detected").groupBy("made", "detected").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(PAIRS + "SELECT pair_id AS patch_id, 2 AS n_checks, 0 AS n_wrong, 'matches' AS verdict FROM pr")
+def verified_patches(spark, sf_dir):
+    """Patches with checksums, weighed against their sources."""
+    from .operators import create
+    from .plans import explain
+
+    pairs = document_pairs(spark, sf_dir).withColumnRenamed("pair_id", "id")
+    made = create.create_patches(pairs, "BPS").select(F.col("id").alias("patch_id"), F.col("patch").alias("content"))
+    sources = pairs.select(F.col("id").alias("patch_id"), F.col("source").alias("bytes"))
+    return explain.verified(made, sources).select("patch_id", "n_checks", "n_wrong", "verdict").withColumns({c: F.col(c).cast("int") for c in ("n_checks", "n_wrong")})
+
+
+@query(PAIRS + "SELECT pair_id, sha1(target) AS sha1 FROM pr WHERE tn >= sn")
+def converted_patches(spark, sf_dir):
+    """Patches converted from one format to another by way of their output, and applied in the new one."""
+    from .operators import apply, create
+    from .plans import explain
+
+    pairs = document_pairs(spark, sf_dir).withColumnRenamed("pair_id", "id")
+    made = create.create_patches(pairs, "BPS").select(F.col("id").alias("patch_id"), F.col("patch").alias("content"))
+    sources = pairs.select(F.col("id").alias("patch_id"), F.col("source").alias("bytes"))
+    new = explain.converted(made, sources, "UPS").filter("patch IS NOT NULL").select("id", "format", "patch")
+    done = apply.apply_patches(new.join(pairs.select("id", F.col("source").alias("image")), "id"))
+    return done.select(F.col("id").alias("pair_id"), F.sha1("output").alias("sha1"))
