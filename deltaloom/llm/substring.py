@@ -36,8 +36,6 @@ from ._io import drop_staged, stage
 WINDOW = 50
 ROUNDS = ("run", "pair", "pair", "run", "pair", "pair", "pair", "pair", "pair")
 U = np.uint64
-CACHE = 1_000_000
-_names: dict[bytes, int] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -52,14 +50,8 @@ def join(a: np.ndarray, b: np.ndarray, salt: int = 0) -> np.ndarray:
 
 
 def name_words(words: list[bytes]) -> np.ndarray:
-    known = _names
-    if len(known) > CACHE:
-        known.clear()
-    out = [known.get(w) for w in words]
-    for i, x in enumerate(out):
-        if x is None:
-            out[i] = known[words[i]] = xxhash.xxh64_intdigest(words[i], 0)
-    return np.array(out, U)
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(w) for w in words], U)
 
 
 class Sequence:
@@ -235,14 +227,14 @@ def _names_of(column) -> list[np.ndarray]:
 
 
 def handed_in(docs: DataFrame, window: int) -> DataFrame:
-    """(doc_id, names) of (doc_id, text)."""
+    """(doc_id, digest, names) of (doc_id, digest, text)."""
 
     def run(batches):
         for part in _parts(batches):
-            parsed = Parsed([name_words(_words(t)) for t in part.column(1).to_pylist()], window)
-            yield pa.RecordBatch.from_arrays([part.column(0), _longs(parsed.all_names())], names=["doc_id", "names"])
+            parsed = Parsed([name_words(_words(t)) for t in part.column(2).to_pylist()], window)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _longs(parsed.all_names())], names=["doc_id", "digest", "names"])
 
-    return docs.mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("names", T.ArrayType(T.LongType()))]))
+    return docs.mapInArrow(run, T.StructType([docs.schema["doc_id"], docs.schema["digest"], T.StructField("names", T.ArrayType(T.LongType()))]))
 
 
 def candidate_windows(docs: DataFrame, window: int) -> DataFrame:
@@ -275,17 +267,17 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, copy, windows): for documents that lose words, whether they are exact copies of one with a
     smaller id, or else the names of the windows that also start in such a one."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    digest = stage(rows.select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest")).distinct(), "digests")
+    rows = rows.select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"), "text")
+    names = stage(handed_in(rows, window), "names")
+    digest = names.select("doc_id", "digest").distinct()
     first = digest.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    first = stage(first.drop("n"), "first")
-    copies = stage(digest.join(first, "digest").filter("doc_id > least").select("doc_id", "digest"), "copies")
-    texts = rows.withColumn("digest", F.unhex(F.sha2("text", 256))).join(copies, ["doc_id", "digest"], "left_anti").select("doc_id", "text")
-    names = stage(handed_in(texts, window), "names")
-    each = names.select("doc_id", F.explode("names").alias("name"))
-    shared = shared_only(each, ["name"]).groupBy("doc_id").agg(F.collect_set("name").alias("names"))
+    copies = stage(digest.join(first.drop("n"), "digest").filter("doc_id > least").select("doc_id", "digest"), "copies")
+    # texts are not moved for this: their names are, and a text is only read again if it has shared ones
+    each = names.join(copies, ["doc_id", "digest"], "left_anti").select("doc_id", "digest", F.explode("names").alias("name"))
+    shared = shared_only(each, ["name"]).groupBy("doc_id", "digest").agg(F.collect_set("name").alias("names"))
     shared = stage(shared, "shared_names")
     drop_staged(names)
-    found = stage(candidate_windows(texts.join(shared, "doc_id").select("doc_id", "text", "names"), window), "windows")
+    found = stage(candidate_windows(rows.join(shared, ["doc_id", "digest"]).select("doc_id", "text", "names"), window), "windows")
     drop_staged(shared)
     lost = shared_only(found, ["a", "b"]).filter("doc_id > least").groupBy("doc_id").agg(F.collect_set("a").alias("windows"))
     lost = stage(lost, "lost_windows")
