@@ -31,7 +31,6 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,49 +41,78 @@ from tokenizers import Tokenizer
 from ._io import stage
 from .bpe import default_path
 
-SHARD = 1_500_000
-ROUNDS = 5
+SHARD = 800_000
+ROUNDS = 4
 STEP = 1024
-BUCKETS = 22
+BUCKETS = 20
 HEAD = struct.Struct("<4sIIIIIQQ")
-CACHE = 900_000
+CACHE = 400_000
+MARK = "\v"
 
 
 class LibraryEncoder:
     """Ids by the tokenizers library. Where single blanks stand between other characters no token reaches
-    across, so what follows a blank is encoded once and remembered."""
+    across, so what follows a blank is encoded once and remembered. What is new to a batch of texts is encoded
+    as one text, with a vertical tab after each piece: white space between a character and a blank that has a
+    character after it is always split off, and a single control character is a token of its own."""
 
     def __init__(self, text: str):
         self.tokenizer = Tokenizer.from_str(text)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        mark = self.library(MARK)
+        self.mark = int(mark[0]) if len(mark) == 1 else -1
         self.known: dict[str, bytes] = {}
 
-    def library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def library(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def learn(self, pieces: set[str]) -> None:
+        plain = [p for p in pieces if p and MARK not in p and not p[0].isspace() and not p[-1].isspace()]
+        known = self.known
+        for k in range(0, len(plain), 5_000):
+            some = plain[k : k + 5_000]
+            ids = self.library("".join([f" {p}{MARK}" for p in some]) + " a")
+            ends = np.flatnonzero(ids == self.mark)
+            if len(ends) == len(some):
+                raw, at = ids.tobytes(), 0
+                for p, e in zip(some, (4 * ends).tolist()):
+                    known[p] = raw[at:e]
+                    at = e + 4
+            else:
+                known.update((p, self.library(" " + p).tobytes()) for p in some)
+        for p in pieces.difference(plain):
+            if p and not p[0].isspace() and not p[-1].isspace():
+                known[p] = self.library(" " + p).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        texts = [t or "" for t in texts]
-        plain = [not any(s in t for s in self.special) for t in texts]
-        pieces = [t.split(" ") if ok else [] for t, ok in zip(texts, plain)]
         if len(self.known) > CACHE:
             self.known.clear()
-        new = {p for ps in pieces for p in ps[1:]} - self.known.keys()
-        new = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()]
-        self.known.update(zip(new, self.library([" " + p for p in new])))
-        heads = iter(self.library([ps[0] for ps in pieces if ps]))
-        out: list[bytes | None] = []
-        for ps in pieces:
-            try:
-                head = next(heads) if ps else None
-                out.append(b"".join(chain([head], map(self.known.__getitem__, ps[1:]))) if ps and not ps[0][-1:].isspace() else None)
-            except KeyError:  # white space beside a blank
-                out.append(None)
-        rest = [k for k, x in enumerate(out) if x is None]
-        for k, ids in zip(rest, self.library([texts[k] for k in rest])):
-            out[k] = ids
-        return [np.frombuffer(x, "<u4") for x in out]
+        get, new, drafts = self.known.get, set(), []
+        for t in texts:
+            t = t or ""
+            if any(s in t for s in self.special):
+                drafts.append((t, None, None))
+                continue
+            first, *rest = t.split(" ")
+            found = [*map(get, rest)]
+            lacking = [i for i, x in enumerate(found) if x is None] if None in found else []
+            new.update([rest[i] for i in lacking])
+            drafts.append((t, [first, *rest], (found, lacking)))
+        self.learn(new)
+        out = []
+        for t, pieces, more in drafts:
+            if pieces is not None and not pieces[0][-1:].isspace():
+                found, lacking = more
+                for i in lacking:
+                    found[i] = get(pieces[i + 1])
+                if not lacking or None not in found:  # else there is white space beside a blank
+                    head = self.library(pieces[0]).tobytes()
+                    out.append(np.frombuffer(head + b"".join(found), "<u4"))
+                    continue
+            out.append(self.library(t))
+        return out
 
 
 def replace_pairs(s: np.ndarray, first: int, room: int, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -242,18 +270,21 @@ def write(docs: DataFrame, path: str | None = None, end_id: int = 2, shard: int
             ids, held, size, seq, offset = [], [], 0, seq + 1, offset + size
             return out
 
-        for batch in batches:
-            for k in range(0, batch.num_rows, 200):
-                some = batch.slice(k, 200)
-                part = some.column(3)[0].as_py()
-                for doc, found in zip(some.column(0).to_pylist(), enc.encode(some.column(1).to_pylist())):
-                    ids.append(doc)
-                    held.append(np.append(found, np.uint32(end_id)))
-                    size += len(found) + 1
-                    if size >= shard:
-                        yield flush()
-        if held:
-            yield flush()
+        try:
+            for batch in batches:
+                for k in range(0, batch.num_rows, 200):
+                    some = batch.slice(k, 200)
+                    part = some.column(3)[0].as_py()
+                    for doc, found in zip(some.column(0).to_pylist(), enc.encode(some.column(1).to_pylist())):
+                        ids.append(doc)
+                        held.append(np.append(found, np.uint32(end_id)))
+                        size += len(found) + 1
+                        if size >= shard:
+                            yield flush()
+            if held:
+                yield flush()
+        finally:
+            enc.known.clear()  # a worker that waits for its next task should not hold what it remembered
 
     out = rows.mapInArrow(run, "part int, seq int, doc_ids array<long>, offset long, n_ids long, data binary")
     return stage(out, "token_shards")
