@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._io import least_hashed
+
 #: Not word characters, and capitals, in bytes.
 WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 MARKS = [bytes([c]) for c in b"!%$*&#|.,?:;@=/<>()\"'-_\t"]
@@ -331,8 +333,8 @@ def learn(docs: DataFrame, labels: DataFrame, sizes: Sizes = Sizes()) -> Model |
         .agg((F.min((F.col("quality") == 1).cast("int")) * F.min((F.col("toxic") == 0).cast("int"))).alias("y"))
     )
     # so many ids at most: small enough to broadcast, by the parameters
-    chosen = known.orderBy(by_id, "doc_id").limit(sizes.labelled)
-    free = docs.select("doc_id").dropna().join(known, "doc_id", "left_anti")
+    chosen = least_hashed(known, sizes.labelled, "doc_id").orderBy(by_id, "doc_id").limit(sizes.labelled)
+    free = least_hashed(docs.select("doc_id"), 4 * sizes.pool, "doc_id").dropna().join(known, "doc_id", "left_anti")
     free = free.groupBy("doc_id").agg(F.lit(-1).alias("y")).orderBy(by_id, "doc_id").limit(sizes.pool)
     rows = docs.join(F.broadcast(chosen.unionByName(free)), "doc_id").withColumn("y_", F.col("y"))
     found = features(rows, ["doc_id", "y_"], sizes.buckets).toArrow()
