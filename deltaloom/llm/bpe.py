@@ -169,6 +169,12 @@ class Encoder:
             return [text[s:e] for _, (s, e) in self.by_library(text)]
         return self.by_pattern(text)
 
+    def forget(self) -> None:
+        """Drops what was remembered; a worker that waits for its next task should not hold it."""
+        self.known.clear()
+        self.pieces.clear()
+        self.automaton.follows.clear()
+
     def word(self, w: str) -> tuple[int, ...]:
         ids = self.known.get(w)
         if ids is None:
@@ -262,13 +268,16 @@ def map_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(shared.value)
-        for batch in batches:
-            for k in range(0, batch.num_rows, rows):
-                part = batch.slice(k, rows)
-                got = zip(*[f(enc, t) for t in part.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *[pa.array(x, type=t) for x, t in zip(got, arrow)]], names=[key, *out.names]
-                )
+        try:
+            for batch in batches:
+                for k in range(0, batch.num_rows, rows):
+                    part = batch.slice(k, rows)
+                    got = zip(*[f(enc, t) for t in part.column(1).to_pylist()])
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0), *[pa.array(x, type=t) for x, t in zip(got, arrow)]], names=[key, *out.names]
+                    )
+        finally:
+            enc.forget()
 
     return docs.mapInArrow(run, StructType([docs.schema[key], *out.fields]))
 
