@@ -252,9 +252,10 @@ def deduplicate(docs: DataFrame, size: int = 4, distance: int = DISTANCE, **how)
     kept = stage(kept.select("kept_id", "kept_fp", "rows"), "kept")
     drop_staged(found)
     doc = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    mine = doc.join(kept, F.col("doc.doc_id").eqNullSafe(F.col("kept_id")))
-    once = mine.filter("rows = 1").select("doc")
-    again = mine.filter("rows > 1").select("doc", "kept_id", "kept_fp")
+    many = stage(kept.filter("rows > 1"), "kept_again")  # hardly any; a table of its own, so texts are moved once
+    own = lambda part: doc.join(part, F.col("doc.doc_id").eqNullSafe(F.col("kept_id")))
+    once = own(kept.filter("rows = 1")).select("doc")
+    again = own(many).select("doc", "kept_id", "kept_fp")
     prints = fingerprint_column(again, size).filter("fp = kept_fp")
     again = prints.groupBy("kept_id", "kept_fp").agg(F.max("doc").alias("doc")).select("doc")
     return once.unionByName(again).select("doc.*")
