@@ -1,0 +1,241 @@
+"""Near copies by the exact Jaccard similarity of their sets of word shingles.
+
+Shingles have one fixed order: those that a sample of documents shows more than once come last, by how often
+it does, the others by hash. Two sets of the least similarity share a shingle among the first ones of each, the
+``prefix``: all but what the similarity asks to be common, and one more. The order sets only the cost; no pair
+is lost by it. Rows that share a shingle of their prefixes are a cell.
+
+* Cells of at most ``SMALL`` rows give pairs. The number of shared prefix shingles bounds what two sets can have
+  in common; pairs that the bound leaves are verified by their whole sets.
+* Larger cells are dealt as tiles of ``TILE`` rows with their whole sets; a tile compares each set with those
+  not yet reached and hands on a spanning forest of its links, never all pairs.
+
+Equal sets are one node from the start, named by a 64-bit hash. Defined results are those of ``simhash``: null
+and empty texts have the empty set and are copies of one another, a text of fewer words than a shingle is one
+shingle, a null ``doc_id`` ranks last, texts are read whole.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
+
+from . import simhash
+from ._io import drop_staged, stage
+from .components import components
+
+SMALL, TILE = 32, 512
+#: Documents of the sample that orders the shingles, and shingles that it may name.
+SAMPLE, NAMED = 10_000, 200_000
+#: Similarities are whole thousandths, so that all comparisons are of whole numbers.
+UNIT = 1000
+
+
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    return np.unique(np.array(simhash.shingle_hashes(text, size), np.uint64))
+
+
+def node_of(found: np.ndarray) -> int:
+    """The name of a sorted set, as a long."""
+    return simhash.signed(xxhash.xxh64_intdigest(found.tobytes())) if len(found) else 0
+
+
+def prefix_size(n: int, least: int) -> int:
+    return n - -(-least * n // UNIT) + 1 if n else 0
+
+
+def frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that a bounded sample of documents holds more than once (sorted), and their counts."""
+    rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
+    share = max(1, rows.count() // SAMPLE)
+    rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 200):
+                each = [shingle_set(t, size) for t in batch.column(0).slice(k, 200).to_pylist()]
+                flat = np.concatenate(each).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(flat)], names=["token"])
+
+    counts = rows.mapInArrow(run, "token long").groupBy("token").count().filter("count > 1")
+    found = counts.orderBy(F.desc("count"), "token").limit(NAMED).toArrow()
+    token = found.column("token").to_numpy().view(np.uint64)
+    order = np.argsort(token)
+    return token[order], found.column("count").to_numpy()[order]
+
+
+def sets(docs: DataFrame, size: int, least: int) -> DataFrame:
+    """(rid, doc_id, node, n, prefix) of every row, staged."""
+    held = docs.sparkSession.sparkContext.broadcast(frequent(docs, size))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        named, often = held.value
+        for batch in batches:
+            for k in range(0, batch.num_rows, 200):
+                part = batch.slice(k, 200)
+                each = [shingle_set(t, size) for t in part.column(1).to_pylist()]
+                first = []
+                for s in each:
+                    m = prefix_size(len(s), least)
+                    rank = np.zeros(len(s), np.int64)
+                    if len(named):
+                        at = np.minimum(np.searchsorted(named, s), len(named) - 1)
+                        rank = np.where(named[at] == s, often[at], 0)
+                    first.append(s[np.lexsort((s, rank))[:m]])
+                node, n = pa.array([*map(node_of, each)], pa.int64()), pa.array([*map(len, each)], pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0), node, n, _lists(first)], names=["doc_id", "node", "n", "prefix"])
+
+    schema = [docs.schema["doc_id"], StructField("node", LongType()), StructField("n", IntegerType()), StructField("prefix", ArrayType(LongType()))]
+    found = rows.mapInArrow(run, StructType(schema)).withColumn("rid", F.monotonically_increasing_id())
+    try:
+        return stage(found, "shingle_prefixes")
+    finally:
+        held.destroy()
+
+
+def whole_sets(docs: DataFrame, size: int, rows: DataFrame, needed: DataFrame) -> DataFrame:
+    """(node, shingles) of the ``needed`` nodes, made again from the texts of their documents."""
+    ids = stage(rows.select("doc_id", "node").join(needed, "node").select(F.col("doc_id").alias("id")).distinct(), "candidate_ids")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    texts = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 200):
+                each = [shingle_set(t, size) for t in batch.column(0).slice(k, 200).to_pylist()]
+                node = pa.array([*map(node_of, each)], pa.int64())
+                yield pa.RecordBatch.from_arrays([node, _lists(each)], names=["node", "shingles"])
+
+    found = texts.mapInArrow(run, "node long, shingles array<long>").join(needed, "node", "left_semi")
+    return stage(found.dropDuplicates(["node"]), "candidate_sets")
+
+
+def _lists(each: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, each)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(each).view(np.int64)))
+
+
+def links(own: DataFrame, whole, least: int, small: int = SMALL, tile: int = TILE) -> DataFrame:
+    """(a, b): links among the distinct nodes of ``own`` that connect all pairs of the least similarity. ``whole`` gives the
+    sets of a table of nodes."""
+    postings = own.select("node", "n", F.size("prefix").alias("m"), F.explode("prefix").alias("token"))
+    shared = stage(postings.groupBy("token").count().filter("count > 1"), "shared_shingles")
+    cells = stage(postings.join(shared, "token"), "shingle_cells")
+    few = cells.filter(F.col("count") <= small)
+    a, b = few.select("token", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "m")]), few.select("token", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "m")])
+    fits = (F.col("node_a") < F.col("node_b")) & (UNIT * F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b"))
+    pairs = a.join(b, "token").filter(fits).groupBy("node_a", "node_b", "n_a", "n_b", "m_a", "m_b").count()
+    # beyond the earlier end of the two prefixes at most the rest of that set is common
+    rest = F.greatest(F.col("n_a") - F.col("m_a"), F.col("n_b") - F.col("m_b"))
+    pairs = pairs.filter((F.col("count") + rest) * (UNIT + least) >= least * (F.col("n_a") + F.col("n_b")))
+    pairs = stage(pairs.select("node_a", "node_b"), "candidate_pairs")
+    many = stage(cells.filter(F.col("count") > small).select("node", "token", "count"), "large_cells")
+    ends = pairs.select(F.explode(F.array("node_a", "node_b")).alias("node")).union(many.select("node"))
+    needed = whole(stage(ends.distinct(), "candidates"))
+    side = lambda c: needed.select(F.col("node").alias(f"node_{c}"), F.col("shingles").alias(f"shingles_{c}"))
+    both = pairs.join(side("a"), "node_a").join(side("b"), "node_b")
+    common = F.size(F.array_intersect("shingles_a", "shingles_b"))
+    alike = common * (UNIT + least) >= least * (F.size("shingles_a") + F.size("shingles_b"))
+    verified = both.filter(alike).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    return verified if many.isEmpty() else verified.union(_tiled(many, needed, least, tile))
+
+
+def _tiled(many: DataFrame, needed: DataFrame, least: int, tile: int) -> DataFrame:
+    """(a, b) of the cells that are dealt as tiles: a row goes to all tiles (i, j), i <= j, of its own part."""
+    zero = F.lit(0).cast("long")
+    many = many.withColumn("parts", F.ceil(F.col("count") / tile).cast("long")).withColumn("mine", F.pmod(F.xxhash64("node"), "parts"))
+    tiles = F.transform(
+        F.sequence(zero, F.col("parts") - 1),
+        lambda k: F.least(k, "mine") * F.col("parts") + F.greatest(k, "mine"),
+    )
+    many = many.select("node", "token", F.explode(tiles).alias("tile")).select("node", F.xxhash64("token", "tile").alias("key"))
+    dealt = many.join(needed, "node").repartition("key").sortWithinPartitions("key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, nodes, each = None, [], []
+        for batch in batches:
+            for k, node, s in zip(batch.column(1).to_numpy(), batch.column(0).to_numpy(), batch.column(2)):
+                if k != key and nodes:
+                    yield _pairs(nodes, each, least)
+                    nodes, each = [], []
+                key = k
+                nodes.append(node)
+                each.append(s.values.to_numpy().copy())
+        if nodes:
+            yield _pairs(nodes, each, least)
+
+    return dealt.select("node", "key", "shingles").mapInArrow(run, "a long, b long")
+
+
+def _pairs(nodes: list[int], each: list[np.ndarray], least: int) -> pa.RecordBatch:
+    a, b = forest(each, least)
+    name = np.array(nodes, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(name[a]), pa.array(name[b])], names=["a", "b"])
+
+
+def forest(each: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (places in the list) that connect all sets that pairs of the least similarity connect: a search
+    that compares each set with those not yet reached. Sets are not empty."""
+    sizes = np.array([*map(len, each)])
+    names, flat = np.unique(np.concatenate(each), return_inverse=True)
+    first = np.cumsum(sizes) - sizes
+    held = np.zeros(len(names), np.int32)
+    rest, todo, left, right = np.arange(len(each)), [], [], []
+    while len(rest):
+        if not todo:
+            todo, rest = [rest[0]], rest[1:]
+        i = todo.pop()
+        n = sizes[i]
+        near = rest[UNIT * np.minimum(sizes[rest], n) >= least * np.maximum(sizes[rest], n)]
+        if not len(near):
+            continue
+        held[flat[first[i] : first[i] + n]] = 1
+        starts = np.cumsum(sizes[near]) - sizes[near]
+        places = np.repeat(first[near] - starts, sizes[near]) + np.arange(sizes[near].sum())
+        common = np.add.reduceat(held[flat[places]], starts)
+        held[:] = 0
+        near = near[common * (UNIT + least) >= least * (sizes[near] + n)]
+        if len(near):
+            left.append(np.full(len(near), i))
+            right.append(near)
+            todo += near.tolist()
+            rest = np.setdiff1d(rest, near, assume_unique=True)
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, **how) -> DataFrame:
+    """(doc_id, fp, component, component_id), one row per row of ``docs``; ``fp`` names the set of shingles."""
+    least = round(similarity * UNIT)
+    rows = sets(docs, size, least)
+    nodes = stage(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("rid").alias("rid"), F.count(F.lit(1)).alias("rows")), "nodes")
+    again = nodes.filter("rows > 1").select("node", F.col("rid").alias("first"))
+    lost = stage(rows.select("rid", "node").join(again, "node").filter("rid <> first").select("rid"), "repeated_sets")
+    own = rows if lost.isEmpty() else rows.join(lost, "rid", "left_anti")
+    found = components(links(own, lambda needed: whole_sets(docs, size, rows, needed), least, **how))
+    both = nodes.join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+    both = stage(both, "components")
+    ids = both.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = both.join(ids, "component").select("node", "component", "component_id")
+    out = stage(rows.select("doc_id", "node").join(named, "node").withColumnRenamed("node", "fp").select("doc_id", "fp", "component", "component_id"), "near")
+    drop_staged(rows)
+    return out
+
+
+def deduplicate(docs: DataFrame, size: int = 5, similarity: float = 0.8, **how) -> DataFrame:
+    """The rows of ``docs`` that stay, by the rule of ``simhash.deduplicate``."""
+
+    @F.pandas_udf("long")
+    def node(text):
+        return pd.Series([node_of(shingle_set(t, size)) for t in text], dtype="int64")
+
+    named = lambda rows: rows.withColumn("fp", node(F.col("doc.text").cast("string")))
+    return simhash.first_rows(docs, near_duplicates(docs, size, similarity, **how), named)

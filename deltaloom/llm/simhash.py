@@ -245,6 +245,12 @@ def deduplicate(docs: DataFrame, size: int = 4, distance: int = DISTANCE, **how)
     """The rows of ``docs`` that stay: of each component the one with the least ``doc_id`` (of several
     with that id, the one with the least fingerprint, then the greatest by all its columns)."""
     found = stage(near_duplicates(docs, size, distance, **how), "near")
+    return first_rows(docs, found, lambda rows: fingerprint_column(rows, size))
+
+
+def first_rows(docs: DataFrame, found: DataFrame, printed) -> DataFrame:
+    """The rows of ``docs`` that stay by ``found``, a staged table of (doc_id, fp, component, component_id);
+    ``printed`` adds ``fp`` to rows with a column ``doc``."""
     ids = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
     first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     first = first.groupBy("doc_id", "component").agg(F.min("fp").alias("kept_fp"))
@@ -256,7 +262,7 @@ def deduplicate(docs: DataFrame, size: int = 4, distance: int = DISTANCE, **how)
     own = lambda part: doc.join(part, F.col("doc.doc_id").eqNullSafe(F.col("kept_id")))
     once = own(kept.filter("rows = 1")).select("doc")
     again = own(many).select("doc", "kept_id", "kept_fp")
-    prints = fingerprint_column(again, size).filter("fp = kept_fp")
+    prints = printed(again).filter("fp = kept_fp")
     again = prints.groupBy("kept_id", "kept_fp").agg(F.max("doc").alias("doc")).select("doc")
     return once.unionByName(again).select("doc.*")
 

@@ -1,0 +1,71 @@
+import random
+
+import corpus_pipeline
+import pytest
+from deltaloom.llm import near_copies
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def shingles(text):
+    ws = text.lower().split()
+    return {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))}
+
+
+def brute(texts):
+    """The least place of each text's class."""
+    each, label = [*map(shingles, texts)], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            common = len(each[i] & each[j])
+            if 5 * common >= 4 * (len(each[i]) + len(each[j]) - common):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    return label
+
+
+def planted():
+    """Pairs of similarity 0.70 to 0.96, and a group of 90 copies of one text with one line common to all."""
+    rnd = random.Random(8)
+    words = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    line, out = words(12), []
+    for k in range(120):
+        text = words(rnd.randrange(60, 400)) + line
+        other = list(text)
+        gap = rnd.uniform(0.02, 0.18) * len(text)
+        for i in rnd.sample(range(len(text)), max(1, round(gap / 5))):
+            other[i] = f"x{k}"
+        out += [text, other]
+    base = words(200)
+    for k in range(90):
+        text = list(base)
+        for i in rnd.sample(range(200), rnd.randrange(1, 7)):
+            text[i] = f"y{k}"
+        out.append(text)
+    rnd.shuffle(out)
+    return [" ".join(t) for t in out]
+
+
+@pytest.mark.parametrize("how", [{}, {"small": 2, "tile": 20}])
+def test_links_against_brute_force(spark, how):
+    texts = planted()
+    want = brute(texts)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    got = {r.doc_id: r.component_id for r in near_copies.near_duplicates(docs, **how).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_stage_keeps_one_of_each_class(spark, sf):
+    texts = planted()
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    got = sorted(r.doc_id for r in corpus_pipeline.dissimilar(spark, docs, sf).collect())
+    assert got == sorted(set(brute(texts)))
+
+
+def test_edges(spark):
+    rows = [(5, "a b c d e f g h"), (5, "a b c d e f g h"), (3, "A B\tc d\ne f g h"), (9, None), (8, ""), (7, " \n "), (4, "one two"), (None, "stands alone")]
+    docs = spark.createDataFrame([(*r, None, None, None) for r in rows], DOCS)
+    kept = near_copies.deduplicate(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, "stands alone"), (3, rows[2][1]), (4, "one two"), (7, " \n ")]
+    assert near_copies.deduplicate(docs.limit(0)).count() == 0
