@@ -8,12 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from deltaloom.llm import bpe, decontaminate, exact_dedup, near_copies, quality
+from deltaloom.llm import bpe, decontaminate, exact_dedup, quality, similar
 from deltaloom.llm._io import new_path, stage, table
 
 NEAR_WORDS, NEAR_SIMILARITY = 5, 0.8
-#: What SimHash alone would link by; the stage does not.
-NEAR_BITS = 6
 
 #: No SQL expresses the first stage.
 ORACLE_SQL = None
@@ -33,9 +31,10 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dissimilar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies: the one with the least doc_id. Near copies are all whose sets
-    of five-word shingles have a Jaccard similarity of 0.8 or more, and what such pairs connect."""
-    return near_copies.deduplicate(docs, size=NEAR_WORDS, similarity=NEAR_SIMILARITY)
+    """One document of each class of near copies: the one with the least doc_id. Near copies are texts that wide
+    SimHash fingerprints bring together and whose sets of five-word shingles have a Jaccard similarity of 0.8 or
+    more, and what such pairs connect."""
+    return similar.deduplicate(docs, size=NEAR_WORDS, similarity=NEAR_SIMILARITY)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

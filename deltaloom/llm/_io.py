@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,3 +64,41 @@ def least_hashed(df: DataFrame, rows: int, *columns: str) -> DataFrame:
     if n <= 8 * rows:
         return df
     return df.filter(F.xxhash64(*columns) < F.lit(int(2**64 * 4 * rows / n) - 2**63))
+
+
+def byte_slices(batch: pa.RecordBatch, text: str | int = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """``batch`` in pieces whose texts hold about ``most`` bytes (a longer text is a piece of its own), so that what is
+    made of a piece is bounded by bytes and not by rows."""
+    held = batch.column(text)
+    if isinstance(held, pa.StructArray):
+        held = held.field("text")
+    if not batch.num_rows:
+        return
+    # a row counts for a few bytes even if it has no text
+    total = np.cumsum(pc.fill_null(pc.binary_length(held), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+    start = 0
+    while start < len(total):
+        end = int(np.searchsorted(total, (total[start - 1] if start else 0) + most, "right"))
+        end = max(end, start + 1)
+        yield batch.slice(start, end - start)
+        start = end
+
+
+#: Rows that make a key hot, and hot keys at most.
+HOT, HOT_KEYS = 256, 1000
+
+
+def hot_join(rows: DataFrame, side: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``side`` (one row a key). Rows of hot keys stay where they are: the side's rows of keys
+    that more than 256 rows and more than a thousandth of all have, of which there are a thousand at most, are
+    broadcast. Only the other keys are shuffled. Both tables should be staged: they are read twice."""
+    counts = rows.groupBy(key).count()
+    least = max(HOT, rows.count() // HOT_KEYS)
+    hot = stage(counts.filter(F.col("count") > least).select(F.col(key).alias("hot_key")), "hot_keys")
+    if hot.isEmpty():
+        return rows.join(side, key, how)
+    is_hot = lambda df: df[key] == hot["hot_key"]
+    cold = rows.join(F.broadcast(hot), is_hot(rows), "left_anti").join(side, key, how)
+    few = side.join(F.broadcast(hot), is_hot(side), "left_semi")
+    warm = rows.join(F.broadcast(hot), is_hot(rows), "left_semi").join(F.broadcast(few), key, how)
+    return cold.unionByName(warm)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ._io import drop_staged, stage
+from ._io import byte_slices, drop_staged, hot_join, stage
 from .components import components
 
 DISTANCE = 4
@@ -82,8 +82,7 @@ def fingerprints(docs: DataFrame, size: int = 4) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 200):
-                part = batch.slice(k, 200)
+            for part in byte_slices(batch, 1):
                 each = [shingle_hashes(t, size) for t in part.column(1).to_pylist()]
                 sizes = np.fromiter(map(len, each), np.int64, len(each))
                 flat = np.fromiter((h for hs in each for h in hs), np.uint64, int(sizes.sum()))
@@ -229,16 +228,15 @@ def classes(prints: DataFrame, distance: int = DISTANCE, **how) -> DataFrame:
     found = components(links(nodes.select("fp"), distance, **how)).withColumnRenamed("node", "fp")
     both = nodes.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     both = stage(both, "components")
-    # a plain aggregate and join: the members of a class may be many, its rows here are fingerprints
-    least = both.groupBy("component").agg(F.min("least").alias("component_id"))
-    return both.join(least, "component").select("fp", "component", "component_id")
+    least = stage(both.groupBy("component").agg(F.min("least").alias("component_id")), "component_ids")
+    return hot_join(both, least, "component").select("fp", "component", "component_id")
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, distance: int = DISTANCE, **how) -> DataFrame:
     """(doc_id, fp, component, component_id), one row per row of ``docs``."""
     prints = stage(fingerprints(docs, size), "prints")
     named = stage(classes(prints, distance, **how), "classes")
-    return prints.join(named, "fp").select("doc_id", "fp", "component", "component_id")
+    return hot_join(prints, named, "fp").select("doc_id", "fp", "component", "component_id")
 
 
 def deduplicate(docs: DataFrame, size: int = 4, distance: int = DISTANCE, **how) -> DataFrame:

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from deltaloom.llm import simhash
+from deltaloom.llm import similar
 
 
 def test_stages(spark, sf):
@@ -17,7 +17,7 @@ def test_stages(spark, sf):
     assert distinct.count() == good.select("text").distinct().count()
     best = good.groupBy("text").agg(F.max("doc_id").alias("doc_id")).select("doc_id")
     assert best.exceptAll(distinct.select("doc_id")).count() == 0
-    near = simhash.near_duplicates(distinct, corpus_pipeline.NEAR_WORDS, corpus_pipeline.NEAR_BITS)
+    near = similar.near_duplicates(distinct, corpus_pipeline.NEAR_WORDS, corpus_pipeline.NEAR_SIMILARITY)
     assert apart.count() == near.select("component").distinct().count()
     assert clean.count() <= apart.count() and tokens.count() == clean.count()
     assert tokens.filter("size(ids) = 0").count() == 0
