@@ -27,7 +27,7 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text: the one with the largest doc_id."""
     path = new_path(spark, "digest_index")
     index = exact_dedup.DigestIndex(spark, path.rpartition("/")[2].replace("-", "_"), path)
-    return exact_dedup.deduplicate(docs, index, "documents")
+    return exact_dedup.distinct(docs, index)
 
 
 def dissimilar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat_format, decontaminate, exact_dedup, quality, secrets, simhash, substring, token_files, warc
-from ._io import new_path, stage, table
+from ._io import new_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -68,10 +68,8 @@ FROM sized GROUP BY conv_id
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "digest_index")
     index = exact_dedup.DigestIndex(spark, path.rpartition("/")[2].replace("-", "_"), path)
-    rows = stage(exact_dedup.digests(table(spark, sf_dir, "documents")), "digests")
-    return exact_dedup.assign(rows, index.add(rows, "documents")).select(
-        "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
-    )
+    found = exact_dedup.groups(table(spark, sf_dir, "documents"), index)
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 SQL["op6_exact_dedup"] = """
