@@ -2,16 +2,18 @@
 
 Texts are encoded by the tokenizers library and an end id is appended to each document. The documents are
 dealt by ranges of ``doc_id``, and each task writes its documents, in order, as shards of about
-``SHARD`` ids. In a shard, rounds of Re-Pair replace the most frequent pairs of neighbouring symbols by
-nonterminals. A shard is one binary value of the format below, a row of a Parquet table in a folder that
+``SHARD`` ids. In a shard, Re-Pair counts all pairs of neighbouring symbols exactly and replaces the frequent ones by
+nonterminals: a round takes all that occur at least an eighth as often as the most frequent one, and rounds go on
+until no pair pays, which a rule of 12 bytes does from ``LEAST`` occurrences on. There is no limit to the rules. A shard is one binary value of the format below, a row of a Parquet table in a folder that
 all executors share, so any store that Spark writes to will do.
 
-Format (little endian), version 1::
+Format (little endian), version 2; a symbol is a place in the alphabet, or beyond it a rule::
 
-    4s   magic "RPT1"          u32  bytes of a symbol (2 or 4)     u32  first nonterminal
+    4s   magic "RPT2"          u32  bytes of a symbol (2 or 4)     u32  ids of the alphabet
     u32  rounds                u32  rules                          u32  documents
     u64  symbols               u64  ids
     u32  for each round, its first rule
+    u32  the alphabet: the ids that occur in the shard, ascending
     u32  for each rule, its left and its right symbol
     u32  for each rule, how many ids it expands to
     u64  for each document, its number of ids (with the end id)
@@ -28,67 +30,106 @@ ends with the document that fills it, so a very long document makes a longer sha
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ._io import stage
-from .bpe import default_path
+from ._io import byte_slices, stage
+from .bpe import OTHERS, PATTERN, byte_alphabet, default_path
 
 SHARD = 800_000
-ROUNDS = 4
+LEAST = 7
 STEP = 1024
-BUCKETS = 20
 HEAD = struct.Struct("<4sIIIIIQQ")
-CACHE = 400_000
-MARK = "\v"
+#: Bytes that remembered pieces may take, by estimate.
+CACHE = 96 << 20
+
+
+MARKS = ".,;:!?"
+
+
+class Letters(dict):
+    """For ``str.translate``: the characters that stand for the bytes of a character."""
+
+    def __init__(self):
+        super().__init__()
+        self.of_byte = {b: c for c, b in byte_alphabet().items()}
+
+    def __missing__(self, code: int) -> str:
+        out = self[code] = "".join(self.of_byte[b] for b in chr(code).encode())
+        return out
 
 
 class LibraryEncoder:
     """Ids by the tokenizers library. Where single blanks stand between other characters no token reaches
-    across, so what follows a blank is encoded once and remembered. What is new to a batch of texts is encoded
-    as one text, with a vertical tab after each piece: white space between a character and a blank that has a
-    character after it is always split off, and a single control character is a token of its own."""
+    across, so what follows a blank is encoded once and remembered. New pieces are split into words by the
+    vocabulary's pattern, and the library's model encodes each word."""
 
     def __init__(self, text: str):
         self.tokenizer = Tokenizer.from_str(text)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        mark = self.library(MARK)
-        self.mark = int(mark[0]) if len(mark) == 1 else -1
+        self.model = self.tokenizer.model.tokenize
+        spec = json.loads(text)
+        own = spec.get("pre_tokenizer") or {}
+        #: whether words are split as the pattern says and nothing else is done to a text
+        self.plain = own.get("type") == "ByteLevel" and own.get("use_regex", True) and not own.get("add_prefix_space") and spec.get("normalizer") is None
+        self.letters = Letters()
+        self.by_pattern = regex.compile(PATTERN).findall
         self.known: dict[str, bytes] = {}
+        self.spelt: dict[str, bytes] = {}
+        self.held = 0
 
     def library(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
+    def word(self, w: str) -> bytes:
+        """The ids of a pre-split word, in the characters that stand for its bytes."""
+        ids = self.spelt.get(w)
+        if ids is None:
+            ids = self.spelt[w] = array("I", [t.id for t in self.model(w)]).tobytes()
+            self.held += 2 * len(w) + 200
+        return ids
+
+    def piece(self, p: str) -> bytes:
+        """The ids of a blank and what follows it."""
+        if not self.plain or OTHERS(p):
+            return self.library(" " + p).tobytes()
+        return b"".join([self.word(w.translate(self.letters)) for w in self.by_pattern(" " + p)])
+
     def learn(self, pieces: set[str]) -> None:
-        plain = [p for p in pieces if p and MARK not in p and not p[0].isspace() and not p[-1].isspace()]
-        known = self.known
-        for k in range(0, len(plain), 5_000):
-            some = plain[k : k + 5_000]
-            ids = self.library("".join([f" {p}{MARK}" for p in some]) + " a")
-            ends = np.flatnonzero(ids == self.mark)
-            if len(ends) == len(some):
-                raw, at = ids.tobytes(), 0
-                for p, e in zip(some, (4 * ends).tolist()):
-                    known[p] = raw[at:e]
-                    at = e + 4
-            else:
-                known.update((p, self.library(" " + p).tobytes()) for p in some)
-        for p in pieces.difference(plain):
-            if p and not p[0].isspace() and not p[-1].isspace():
-                known[p] = self.library(" " + p).tobytes()
+        known, letters, word = self.known, self.letters, self.word
+        for p in pieces:
+            body, tail = p, ""
+            if not p.isalpha():
+                body, tail = p[:-1], p[-1:]
+                if not self.plain or not tail or tail not in MARKS or not body.isalpha():
+                    if p and not p[0].isspace() and not p[-1].isspace():
+                        known[p] = self.piece(p)
+                    continue
+            if not body.isascii():
+                if OTHERS(body):
+                    known[p] = self.piece(p)
+                    continue
+                body = body.translate(letters)
+            known[p] = word("\u0120" + body) + word(tail) if tail else word("\u0120" + body)
+        self.held += sum(map(len, pieces)) + 200 * len(pieces)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.known) > CACHE:
+        if self.held > CACHE:
             self.known.clear()
+            self.spelt.clear()
+            self.held = 0
         get, new, drafts = self.known.get, set(), []
         for t in texts:
             t = t or ""
@@ -115,85 +156,158 @@ class LibraryEncoder:
         return out
 
 
-def replace_pairs(s: np.ndarray, first: int, room: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """One round: up to ``room`` frequent pairs become symbols from ``first`` on. The symbols, and the pairs."""
-    none = np.zeros((0, 2), np.int64)
-    if len(s) < 2 or room < 1:
-        return s, none
-    key = s[:-1] << 32 | s[1:]
-    bucket = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKETS)).view(np.int64)
-    # a bucket stands for one of its pairs, which is then counted exactly
-    holds = np.full(1 << BUCKETS, -1)
-    holds[bucket] = key
-    count = np.bincount(bucket[holds[bucket] == key], minlength=1 << BUCKETS)
-    often = np.flatnonzero(count >= least)
-    if not len(often):
-        return s, none
-    often = often[np.argsort(-count[often], kind="stable")][:room]
-    number = np.full(1 << BUCKETS, -1, np.int64)
-    number[often] = np.arange(len(often))
-    at = np.flatnonzero((number[bucket] >= 0) & (holds[bucket] == key))
-    # of pairs that overlap, every other from the left
-    run = np.append(True, np.diff(at) > 1)
-    begin = np.maximum.accumulate(np.where(run, at, -1))
-    at = at[(at - begin) % 2 == 0]
-    out = s.copy()
-    out[at] = first + number[bucket[at]]
-    keep = np.ones(len(s), bool)
-    keep[at + 1] = False
-    pairs = holds[often]
-    return out[keep], np.column_stack([pairs >> 32, pairs & 0xFFFFFFFF])
-
-
-def compress(documents: list[np.ndarray], vocabulary: int, rounds: int = ROUNDS, least: int = 8) -> bytes:
-    """A shard of documents; ids must be less than ``vocabulary``."""
-    s = np.concatenate([*documents, np.zeros(0, np.uint32)]).astype(np.int64)
-    total, narrow = len(s), vocabulary < 60_000
-    most = (65_536 if narrow else 1 << 20) - vocabulary
-    rules, starts = [], []
-    for k in range(rounds):
-        done = sum(map(len, rules))
-        s, new = replace_pairs(s, vocabulary + done, (most - done) // (rounds - k), least)
-        if not len(new):
-            break
-        starts.append(done)
-        rules.append(new)
+def keys_of(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    kind, shift = (np.uint32, 16) if left.dtype == np.uint16 else (np.uint64, 32)
+    return left.astype(kind) << kind(shift) | right.astype(kind)
+
+
+def parts_of(names: np.ndarray) -> np.ndarray:
+    """The two symbols of each key."""
+    shift = 16 if names.dtype == np.uint32 else 32
+    return np.column_stack([names >> names.dtype.type(shift), names & names.dtype.type((1 << shift) - 1)]).astype(np.int64)
+
+
+def halve_runs(distinct: np.ndarray, count: np.ndarray, key: np.ndarray, at: np.ndarray, same: np.ndarray) -> None:
+    """Of n equal symbols in a row only half can be paired: ``count`` set right for the pairs of equal symbols, which
+    are ``same`` among the pairs ``key`` at the places ``at``."""
+    at, key = at[same], key[same]
+    if len(at):
+        first = np.flatnonzero(np.append(True, (np.diff(at) > 1) | (key[1:] != key[:-1])))
+        of = np.searchsorted(distinct, key[first])
+        count[of] = 0
+        np.add.at(count, of, (np.diff(np.append(first, len(at))) + 1) // 2)
+
+
+def pair_counts(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The key of every pair of neighbours, the distinct keys and how often each occurs without overlap."""
+    key = keys_of(s[:-1], s[1:])
+    order = np.sort(key)
+    first = np.flatnonzero(np.append(True, order[1:] != order[:-1]))
+    count = np.diff(np.append(first, len(order)))
+    distinct = order[first]
+    same = np.flatnonzero(s[:-1] == s[1:])
+    halve_runs(distinct, count, key[same], same, np.ones(len(same), bool))
+    return key, distinct, count
+
+
+def occurrences(s: np.ndarray, key: np.ndarray, names: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places in ``key`` of the names (ascending), and which name each is."""
+    left, right, pairs = np.zeros(size, bool), np.zeros(size, bool), parts_of(names)
+    left[pairs[:, 0]], right[pairs[:, 1]] = True, True
+    at = np.flatnonzero(left[s[:-1]] & right[s[1:]])
+    place = np.minimum(np.searchsorted(names, key[at]), len(names) - 1)
+    ok = names[place] == key[at]
+    return at[ok], place[ok]
+
+
+def without_overlap(every: np.ndarray, of: np.ndarray, count: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs ``of`` at the places ``every``: which pairs get ``least`` places that do not overlap, at which
+    places, and the pair of each place."""
+    allowed = np.ones(len(count), bool)
+    while True:
+        # of pairs that overlap, every other from the left
+        kept = allowed[of]
+        at, which = every[kept], of[kept]
+        run = np.append(True, np.diff(at) > 1)
+        begin = np.maximum.accumulate(np.where(run, at, -1))
+        taken = (at - begin) % 2 == 0
+        at, which = at[taken], which[taken]
+        poor = np.flatnonzero(allowed & (np.bincount(which, minlength=len(count)) < least))
+        if not len(poor):
+            return allowed, at, which
+        # pairs in each other's way: the rarer half gives way, for this round. One pair alone is never poor
+        poor = poor[np.argsort(count[poor], kind="stable")]
+        allowed[poor[: (len(poor) + 1) // 2]] = False
+
+
+def repair(s: np.ndarray, size: int, least: int = LEAST) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Rounds of Re-Pair on symbols below ``size``: the symbols left, and the pairs of each round, named on from
+    ``size``. No pair of what is left occurs ``least`` times."""
+    rounds, places = [], None
+    while len(s) > 1:
+        if places is None:
+            key, distinct, count = pair_counts(s)
+            top = int(count.max())
+            chosen = count >= max(least, top // 8)
+            names, count, whole = distinct[chosen], count[chosen], top // 8 <= least
+            if not len(names):
+                break
+            every, of = occurrences(s, key, names, size)
+        else:
+            # only these places can have a pair that pays: such as did before, and neighbours of new symbols
+            key = keys_of(s[places], s[places + 1])
+            distinct, of, count = np.unique(key, return_inverse=True, return_counts=True)
+            halve_runs(distinct, count, key, places, s[places] == s[places + 1])
+            chosen = count >= least
+            if not chosen.any():
+                break
+            number, whole = np.cumsum(chosen) - 1, True
+            names, count = distinct[chosen], count[chosen]
+            every, of = places[chosen[of]], number[of[chosen[of]]]
+        ok, at, which = without_overlap(every, of, count, least)
+        name = np.where(ok, size + np.cumsum(ok) - 1, 0)
+        size += int(ok.sum())
+        rounds.append(parts_of(names[ok]))
+        keep, changed = np.ones(len(s), bool), np.zeros(len(s), bool)
+        keep[at + 1] = False
+        changed[at], changed[at + 1] = True, True
+        s = s.astype(np.int64 if size > 65_536 else s.dtype)
+        s[at] = name[which]
+        s = s[keep]
+        places = None
+        if whole:
+            now = np.cumsum(keep) - 1
+            fresh = now[at]
+            places = np.concatenate([now[every[~changed[every] & ~changed[every + 1]]], fresh, fresh - 1])
+            places = np.unique(places[(places >= 0) & (places < len(s) - 1)])
+    return s, rounds
+
+
+def compress(documents: list[np.ndarray], least: int = LEAST) -> bytes:
+    """A shard of documents."""
+    ids = np.concatenate([*documents, np.zeros(0, np.uint32)]).astype(np.int64)
+    seen = np.bincount(ids) > 0 if len(ids) else np.zeros(0, bool)
+    alphabet, place = np.flatnonzero(seen), np.cumsum(seen) - 1
+    s = place[ids].astype(np.uint16 if len(alphabet) <= 65_536 else np.int64) if len(ids) else ids
+    size = len(alphabet)
+    s, rules = repair(s, size, least)
+    starts = np.cumsum([0, *map(len, rules)])[:-1].tolist()
     rules = np.concatenate([*rules, np.zeros((0, 2), np.int64)])
-    lengths = rule_lengths(rules, starts, vocabulary)
-    before = np.cumsum(symbol_lengths(s, lengths, vocabulary)) - symbol_lengths(s, lengths, vocabulary)
+    lengths = rule_lengths(rules, starts, size)
+    own = symbol_lengths(s, lengths, size)
+    before = np.cumsum(own) - own
+    width = 2 if size + len(rules) <= 65_536 else 4
     return b"".join(
         [
-            HEAD.pack(b"RPT1", 2 if narrow else 4, vocabulary, len(starts), len(rules), len(documents), len(s), total),
+            HEAD.pack(b"RPT2", width, size, len(starts), len(rules), len(documents), len(s), len(ids)),
             np.array(starts, "<u4").tobytes(),
+            alphabet.astype("<u4").tobytes(),
             rules.astype("<u4").tobytes(),
             lengths.astype("<u4").tobytes(),
             np.array([len(d) for d in documents], "<u8").tobytes(),
             before[::STEP].astype("<u8").tobytes(),
-            s.astype("<u2" if narrow else "<u4").tobytes(),
+            s.astype(f"<u{width}").tobytes(),
         ]
     )
 
 
-def rule_lengths(rules: np.ndarray, starts: list[int], vocabulary: int) -> np.ndarray:
+def rule_lengths(rules: np.ndarray, starts: list[int], size: int) -> np.ndarray:
     lengths = np.zeros(len(rules), np.int64)
     for a, b in zip(starts, [*starts[1:], len(rules)]):  # rules of a round are made of symbols before it
-        lengths[a:b] = sum(symbol_lengths(rules[a:b, k], lengths, vocabulary) for k in (0, 1))
+        lengths[a:b] = sum(symbol_lengths(rules[a:b, k], lengths, size) for k in (0, 1))
     return lengths
 
 
-def symbol_lengths(s: np.ndarray, lengths: np.ndarray, vocabulary: int) -> np.ndarray:
-    out = np.ones(len(s), np.int64)
-    rule = s >= vocabulary
-    out[rule] = lengths[s[rule] - vocabulary]
-    return out
+def symbol_lengths(s: np.ndarray, lengths: np.ndarray, size: int) -> np.ndarray:
+    return np.concatenate([np.ones(size, np.int64), lengths])[s]
 
 
 class Shard:
-    """A shard's parts, as they lie in its bytes."""
+    """A shard's parts, as they lie in its bytes, and what each symbol stands for."""
 
     def __init__(self, data: bytes):
-        magic, width, self.vocabulary, rounds, rules, documents, symbols, self.ids = HEAD.unpack_from(data)
-        if magic != b"RPT1":
+        magic, width, size, rounds, rules, documents, symbols, self.ids = HEAD.unpack_from(data)
+        if magic != b"RPT2":
             raise ValueError("not a shard of token ids")
         at = HEAD.size
 
@@ -204,24 +318,24 @@ class Shard:
             return out
 
         self.starts = take("<u4", rounds).astype(np.int64)
+        self.alphabet = take("<u4", size)
         self.rules = take("<u4", 2 * rules).reshape(-1, 2).astype(np.int64)
-        self.lengths = take("<u4", rules).astype(np.int64)
+        self.lengths = np.concatenate([np.ones(size, np.int64), take("<u4", rules).astype(np.int64)])
         self.sizes = take("<u8", documents).astype(np.int64)
         self.before = take("<u8", -(-symbols // STEP)).astype(np.int64)
         self.symbols = take(f"<u{width}", symbols)
+        # what symbols stand for, end to end: a round's rules are made of symbols before it
+        self.first = np.cumsum(self.lengths) - self.lengths
+        self.flat = np.zeros(int(self.lengths.sum()), "<u4")
+        self.flat[:size] = self.alphabet
+        for a, b in zip(self.starts, [*self.starts[1:], rules]):
+            self.flat[self.first[size + a] : self.first[size + a] + self.lengths[size + a : size + b].sum()] = self.expand(self.rules[a:b].ravel())
 
     def expand(self, s: np.ndarray) -> np.ndarray:
-        """The ids of symbols: the rounds undone, the last first."""
-        s = s.astype(np.int64)
-        for start in self.starts[::-1]:
-            rule = s >= self.vocabulary + start
-            at = np.arange(len(s)) + np.cumsum(rule) - rule
-            out = np.empty(len(s) + int(rule.sum()), np.int64)
-            out[at] = s
-            both = self.rules[s[rule] - self.vocabulary]
-            out[at[rule]], out[at[rule] + 1] = both[:, 0], both[:, 1]
-            s = out
-        return s.astype("<u4")
+        """The ids of symbols."""
+        size = self.lengths[s]
+        end = np.cumsum(size)
+        return self.flat[np.repeat(self.first[s] - end + size, size) + np.arange(end[-1] if len(end) else 0)]
 
     def read_range(self, start: int, end: int) -> np.ndarray:
         """The ids from ``start`` to ``end`` (exclusive)."""
@@ -247,8 +361,6 @@ def write(docs: DataFrame, path: str | None = None, end_id: int = 2, shard: int
     spark = docs.sparkSession
     with open(path or default_path(), encoding="utf-8") as file:
         text = file.read()
-    vocabulary = max(Tokenizer.from_str(text).get_vocab(True).values()) + 1
-    vocabulary = max(vocabulary, end_id + 1)
     shared = spark.sparkContext.broadcast(text)  # of the tokenizer's fixed size
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id())
     # the row number lets even one id that very many rows share be dealt to several tasks
@@ -263,28 +375,24 @@ def write(docs: DataFrame, path: str | None = None, end_id: int = 2, shard: int
             out = pa.RecordBatch.from_arrays(
                 [
                     pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([ids], pa.list_(pa.int64())),
-                    pa.array([offset], pa.int64()), pa.array([size], pa.int64()), pa.array([compress(held, vocabulary)], pa.binary()),
+                    pa.array([offset], pa.int64()), pa.array([size], pa.int64()), pa.array([compress(held)], pa.binary()),
                 ],
                 names=["part", "seq", "doc_ids", "offset", "n_ids", "data"],
             )
             ids, held, size, seq, offset = [], [], 0, seq + 1, offset + size
             return out
 
-        try:
-            for batch in batches:
-                for k in range(0, batch.num_rows, 200):
-                    some = batch.slice(k, 200)
-                    part = some.column(3)[0].as_py()
-                    for doc, found in zip(some.column(0).to_pylist(), enc.encode(some.column(1).to_pylist())):
-                        ids.append(doc)
-                        held.append(np.append(found, np.uint32(end_id)))
-                        size += len(found) + 1
-                        if size >= shard:
-                            yield flush()
-            if held:
-                yield flush()
-        finally:
-            enc.known.clear()  # a worker that waits for its next task should not hold what it remembered
+        for batch in batches:
+            for some in byte_slices(batch):
+                part = some.column(3)[0].as_py()
+                for doc, found in zip(some.column(0).to_pylist(), enc.encode(some.column(1).to_pylist())):
+                    ids.append(doc)
+                    held.append(np.append(found, np.uint32(end_id)))
+                    size += len(found) + 1
+                    if size >= shard:
+                        yield flush()
+        if held:
+            yield flush()
 
     out = rows.mapInArrow(run, "part int, seq int, doc_ids array<long>, offset long, n_ids long, data binary")
     return stage(out, "token_shards")

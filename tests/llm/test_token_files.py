@@ -50,7 +50,7 @@ def test_edges_and_many_shards(spark):
 def test_round_trip_and_random_access(docs, narrow):
     top = 50_000 if narrow else 70_001
     docs = [np.array([x % top for x in d], np.uint32) for d in docs]
-    data = token_files.compress(docs, top, least=2)
+    data = token_files.compress(docs, least=2)
     shard = token_files.Shard(data)
     assert [d.tolist() for d in shard.documents()] == [d.tolist() for d in docs]
     flat = [x for d in docs for x in d.tolist()]
@@ -63,7 +63,38 @@ def test_round_trip_and_random_access(docs, narrow):
 
 def test_repetitive_ids_get_small():
     ids = np.tile(np.arange(100, dtype=np.uint32), 3000)
-    data = token_files.compress([ids], 50_258)
+    data = token_files.compress([ids])
     assert len(data) < 2 * len(ids) / 10
     shard = token_files.Shard(data)
     assert (shard.read_range(123_456, 123_999) == ids[123_456:123_999]).all()
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(0, 3) | st.integers(0, 30), max_size=600), st.integers(2, 7), st.sampled_from([np.uint16, np.int64]))
+def test_no_pair_that_pays_is_left(ids, least, kind):
+    s, rounds = token_files.repair(np.array(ids, kind), 31, least)
+    rules = [tuple(p) for r in rounds for p in r.tolist()]
+    assert len(set(rules)) == len(rules)
+    back = lambda x: [x] if x < 31 else back(rules[x - 31][0]) + back(rules[x - 31][1])
+    assert [y for x in s.tolist() for y in back(x)] == ids
+    counts, left = {}, s.tolist()
+    for pair in set(zip(left, left[1:])):
+        n = k = 0
+        while k < len(left) - 1:
+            hit = (left[k], left[k + 1]) == pair
+            n, k = n + hit, k + 1 + hit
+        counts[pair] = n
+    assert max(counts.values(), default=0) < least
+    whole = [y for x in s.tolist() for y in back(x)]
+    for k, pair in enumerate(rules):  # a rule is used often enough to pay
+        assert sum(r.count(31 + k) for r in rules) + left.count(31 + k) >= 1 and whole == ids
+
+
+def test_pieces_and_words(spark):
+    tokenizer = Tokenizer.from_file(PATH)
+    with open(PATH, encoding="utf-8") as file:
+        enc = token_files.LibraryEncoder(file.read())
+    pieces = ["plain", "Été,", "été!", "x.\nThe", "it's", "'s", "a'LL", "a1b", "12,", "ƀ", "日本語,", "日本", "한국어.", "é́", "a\tb", "$5", "-", ",", ";;", "ﬁ", "ª", "²", "՘", "Ა"]
+    texts = ["go " + p for p in pieces] + ["go " + " ".join(pieces)] * 2
+    for text, ids in zip(texts, enc.encode(texts)):
+        assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
