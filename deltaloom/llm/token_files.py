@@ -35,6 +35,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -51,10 +52,12 @@ LEAST = 7
 STEP = 1024
 HEAD = struct.Struct("<4sIIIIIQQ")
 #: Bytes that remembered pieces may take, by estimate.
-CACHE = 96 << 20
+CACHE = 256 << 20
 
 
 MARKS = ".,;:!?"
+#: Bytes that never occur in UTF-8.
+NEVER = (0xC0, 0xC1, *range(0xF5, 0x100))
 
 
 class Letters(dict):
@@ -86,6 +89,11 @@ class LibraryEncoder:
         self.plain = own.get("type") == "ByteLevel" and own.get("use_regex", True) and not own.get("add_prefix_space") and spec.get("normalizer") is None
         self.letters = Letters()
         self.by_pattern = regex.compile(PATTERN).findall
+        merges = spec["model"].get("merges", ())
+        used = set("".join([x if isinstance(x, str) else "".join(x) for x in merges]))
+        #: the token of a byte that UTF-8 does not have and no merge knows
+        self.between = next((c for c, b in byte_alphabet().items() if b in NEVER and c not in used and self.tokenizer.token_to_id(c) is not None), None)
+        self.between_id = self.between and self.tokenizer.token_to_id(self.between)
         self.known: dict[str, bytes] = {}
         self.spelt: dict[str, bytes] = {}
         self.held = 0
@@ -108,22 +116,55 @@ class LibraryEncoder:
         return b"".join([self.word(w.translate(self.letters)) for w in self.by_pattern(" " + p)])
 
     def learn(self, pieces: set[str]) -> None:
-        known, letters, word = self.known, self.letters, self.word
-        for p in pieces:
-            body, tail = p, ""
-            if not p.isalpha():
-                body, tail = p[:-1], p[-1:]
-                if not self.plain or not tail or tail not in MARKS or not body.isalpha():
-                    if p and not p[0].isspace() and not p[-1].isspace():
-                        known[p] = self.piece(p)
-                    continue
-            if not body.isascii():
-                if OTHERS(body):
-                    known[p] = self.piece(p)
-                    continue
-                body = body.translate(letters)
-            known[p] = word("\u0120" + body) + word(tail) if tail else word("\u0120" + body)
-        self.held += sum(map(len, pieces)) + 200 * len(pieces)
+        known = self.known
+        pieces.discard("")
+        alpha = {p for p in pieces if p.isalpha()}
+        rest = pieces - alpha
+        if self.plain:
+            # a line feed between others is a word of its own, and no blank belongs to what follows it
+            lines = {p: p.split("\n") for p in rest if "\n" in p}
+            lines = {p: x for p, x in lines.items() if all([y and not y[0].isspace() and not y[-1].isspace() for y in x])}
+            rest.difference_update(lines)
+            rest.update([x[0] for x in lines.values() if x[0] not in known])
+            alpha.update([p for p in rest if p.isalpha()])
+            rest -= alpha
+            marked = [p for p in rest if p[-1] in MARKS and p[:-1].isalpha()]
+            alpha.update([p[:-1] for p in marked if p[:-1] not in known])
+            self.learn_words(list(alpha))
+            tails = {mark: self.word(mark) for mark in MARKS}
+            known.update([(p, known[p[:-1]] + tails[p[-1]]) for p in marked])
+            rest.difference_update(marked)
+        else:
+            lines, rest = {}, pieces
+        for p in rest:
+            if not p[0].isspace() and not p[-1].isspace():
+                known[p] = self.piece(p)
+        for p, x in lines.items():
+            known[p] = b"".join([known[x[0]], *[self.line(y) for y in x[1:]]])
+        self.held += 220 * (len(pieces) + len(alpha) + len(rest))
+
+    def line(self, p: str) -> bytes:
+        """The ids of a line feed and what follows it."""
+        if OTHERS(p):
+            return self.library("\n" + p).tobytes()
+        return b"".join([self.word(w.translate(self.letters)) for w in ("\n", *([p] if p.isalpha() else self.by_pattern(p)))])
+
+    def learn_words(self, alpha: list[str]) -> None:
+        """Pieces of letters alone are one word each. The model is given many at once, with a symbol between them that no
+        merge knows, so that it cannot join what is beside it."""
+        known, letters = self.known, self.letters
+        other = [p for p in alpha if not p.isascii()]
+        if not self.plain or self.between is None or other and OTHERS("".join(other)):
+            known.update([(p, self.piece(p)) for p in alpha])
+            return
+        spelt = [p if p.isascii() else p.translate(letters) for p in alpha]
+        gap, get_id = self.between + "\u0120", attrgetter("id")
+        for k in range(0, len(alpha), 256):
+            ids = np.array([*map(get_id, self.model("\u0120" + gap.join(spelt[k : k + 256]) + self.between))], np.uint32)
+            raw, at = ids.tobytes(), 0
+            for p, end in zip(alpha[k : k + 256], (4 * np.flatnonzero(ids == self.between_id)).tolist()):
+                known[p] = raw[at:end]
+                at = end + 4
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if self.held > CACHE:
@@ -190,13 +231,18 @@ def pair_counts(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return key, distinct, count
 
 
-def occurrences(s: np.ndarray, key: np.ndarray, names: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The places in ``key`` of the names (ascending), and which name each is."""
-    left, right, pairs = np.zeros(size, bool), np.zeros(size, bool), parts_of(names)
-    left[pairs[:, 0]], right[pairs[:, 1]] = True, True
-    at = np.flatnonzero(left[s[:-1]] & right[s[1:]])
-    place = np.minimum(np.searchsorted(names, key[at]), len(names) - 1)
-    ok = names[place] == key[at]
+def occurrences(key: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places in ``key`` of the names (ascending), and which name each is. A table of hashes tells most."""
+    kind, shift = key.dtype.type, 8 * key.itemsize - 18
+    mixed = lambda x: (x * kind(0x9E3779B1 if shift < 32 else 0x9E3779B97F4A7C15)) >> kind(shift)
+    table = np.full(1 << 18, -1, np.int32)
+    table[mixed(names)] = np.arange(len(names))
+    place = table[mixed(key)]
+    at = np.flatnonzero(place >= 0)
+    place, own = place[at], key[at]
+    wrong = np.flatnonzero(names[place] != own)  # another key of the same hash, which may be a name as well
+    place[wrong] = np.minimum(np.searchsorted(names, own[wrong]), len(names) - 1)
+    ok = names[place] == own
     return at[ok], place[ok]
 
 
@@ -215,9 +261,11 @@ def without_overlap(every: np.ndarray, of: np.ndarray, count: np.ndarray, least:
         poor = np.flatnonzero(allowed & (np.bincount(which, minlength=len(count)) < least))
         if not len(poor):
             return allowed, at, which
-        # pairs in each other's way: the rarer half gives way, for this round. One pair alone is never poor
-        poor = poor[np.argsort(count[poor], kind="stable")]
-        allowed[poor[: (len(poor) + 1) // 2]] = False
+        # pairs in each other's way: the rarer half gives way, for this round (all, if there are many that do not have
+        # to). One pair alone is never poor
+        if len(every) < 20_000 or len(poor) == allowed.sum():
+            poor = poor[np.argsort(count[poor], kind="stable")][: (len(poor) + 1) // 2]
+        allowed[poor] = False
 
 
 def repair(s: np.ndarray, size: int, least: int = LEAST) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -232,7 +280,7 @@ def repair(s: np.ndarray, size: int, least: int = LEAST) -> tuple[np.ndarray, li
             names, count, whole = distinct[chosen], count[chosen], top // 8 <= least
             if not len(names):
                 break
-            every, of = occurrences(s, key, names, size)
+            every, of = occurrences(key, names)
         else:
             # only these places can have a pair that pays: such as did before, and neighbours of new symbols
             key = keys_of(s[places], s[places + 1])

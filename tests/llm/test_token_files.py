@@ -94,7 +94,7 @@ def test_pieces_and_words(spark):
     tokenizer = Tokenizer.from_file(PATH)
     with open(PATH, encoding="utf-8") as file:
         enc = token_files.LibraryEncoder(file.read())
-    pieces = ["plain", "Été,", "été!", "x.\nThe", "it's", "'s", "a'LL", "a1b", "12,", "ƀ", "日本語,", "日本", "한국어.", "é́", "a\tb", "$5", "-", ",", ";;", "ﬁ", "ª", "²", "՘", "Ა"]
+    pieces = ["plain", "Été,", "été!", "x.\nThe", "it's", "'s", "a'LL", "a1b", "12,", "ƀ", "日本語,", "日本", "한국어.", "é́", "a\tb", "$5", "-", "a.\nb", "a\n\nb", "\nb", "a\n", "é\nÉ\n's", "x\n-y\n12", "x\r\ny", "a\n՘", ",", ";;", "ﬁ", "ª", "²", "՘", "Ა"]
     texts = ["go " + p for p in pieces] + ["go " + " ".join(pieces)] * 2
     for text, ids in zip(texts, enc.encode(texts)):
         assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
