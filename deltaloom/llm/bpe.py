@@ -2,14 +2,16 @@
 
 The merges are compiled, in their order, into a deterministic automaton whose arcs are labelled with
 tokens and which reads exactly the correct tokenizations (the merge gadget of Berglund, Martens and van
-der Merwe, "Constructing a BPE Tokenization DFA", 2024). The automaton starts with one state and a loop
-for each byte. The gadget of merge u+v splits the state that u leads to: u now leads to a copy without
+der Merwe, "Constructing a BPE Tokenization DFA", 2024). It starts with one state and a loop for each
+byte. The gadget of merge u+v splits the state that u leads to: u now leads to a copy without
 the arc v, and wherever u could be read, an arc uv leads to where v led. All arcs of a label lead to the
-same state, so a state is known by its last label, and each is kept as the arcs that it has lost and
-when. ``follows`` is the resulting transition table, filled in as it is used.
+same state, so the transitions are a table of bits, states by classes of labels: labels that the same states
+read share a class, states and classes are copied when a gadget sets one of those that share them apart. The
+vocabulary of 50,000 merges makes 14,638 states and 10,604 classes, 19 MB, on the driver; tasks get the table.
 
-A pre-split word is encoded by the one path of the automaton that spells it: by position, the one label
-that ends there and may follow the label before it. Decoding joins the labels.
+A pre-split word is encoded by the one path of the automaton that spells it: of the labels that the word goes on
+with, the longest that has an arc; where none has, the position is not on the path and the step before it is
+taken again. Decoding emits the labels of the arcs.
 
 Defined results: a null or empty text gives no ids. Strings of special tokens in a text become their
 ids, as in the tokenizers library. Texts are read whole. Row order and repeated rows are kept, empty
@@ -23,19 +25,25 @@ import json
 from collections.abc import Callable, Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StringType, StructField, StructType
 from tokenizers.pre_tokenizers import ByteLevel
 
+from ._io import byte_slices
+
 #: Fixed value: the pre-splitting pattern of byte-level vocabularies.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters that the regex module classes as the tokenizers library does, whatever their versions of
 #: Unicode: blocks that were full long ago. Texts with others are split by that library.
 OTHERS = regex.compile(r"[^\x00-\x1b\x20-\u052f\u2000-\u205e\u3041-\u3096\u30a1-\u30ff\u4e00-\u9fa5\uac00-\ud7a3]").search
 
+#: Characters that are a word of their own after letters.
+MARKS = ".,;:!?"
 #: Entries that a worker remembers before it forgets them all.
 CACHE = 800_000
 
@@ -48,7 +56,8 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class MergeAutomaton:
-    """``label[id]``: a token's bytes; ``special``: strings that are tokens as they stand."""
+    """``label[id]``: a token's bytes; ``special``: strings that are tokens as they stand; ``state[id]``: where the arcs
+    of a label lead; ``kind[id]``: its class; ``table``: for each state, a bit for each class that it has arcs of."""
 
     def __init__(self, text: str):
         """``text``: the JSON of a tokenizer of the tokenizers library."""
@@ -65,90 +74,81 @@ class MergeAutomaton:
             if s not in self.special:
                 self.label[k] = raw(s)
                 self.ids[raw(s)] = k
-        self.longest = max(map(len, self.ids))
-        #: a token's two parts and the merge that made it; -1 for bytes
-        self.left, self.right, self.born = [-1] * self.size, [-1] * self.size, [-1] * self.size
-        #: when u's state lost the arc v
-        self.lost: dict[tuple[int, int], int] = {}
-        for rank, pair in enumerate(model["merges"]):
+        #: for three bytes, how long a label that begins with them can be
+        self.reach: dict[bytes, int] = {}
+        for x in self.ids:
+            if len(x) > 2:
+                self.reach[x[:3]] = max(len(x), self.reach.get(x[:3], 0))
+        merges = []
+        for pair in model["merges"]:
             u, v = (self.ids[raw(s)] for s in (pair.split(" ") if isinstance(pair, str) else pair))
-            self._gadget(u, v, self.ids[self.label[u] + self.label[v]], rank)
-        self.follows: dict[int, bool] = {}
-
-    def _gadget(self, u: int, v: int, uv: int, rank: int) -> None:
-        self.lost[u, v] = rank
-        self.left[uv], self.right[uv], self.born[uv] = u, v, rank
-
-    def _arc(self, t: int, x: int) -> bool:
-        """Whether the state after t has an arc x. The state of t starts as that of its right part at
-        the time, and so on down to a byte; x appeared where its left part had an arc, and so on. The
-        arc is missing if, while both were in force, one of the former lost one of the latter."""
-        until, lost = len(self.lost), self.lost
-        while t >= 0:
-            y, before = x, until
-            while y >= 0:
-                rank = lost.get((t, y))
-                if rank is not None and rank < until and rank <= before:
-                    return False
-                before = min(before, self.born[y])
-                y = self.left[y]
-            until = min(until, self.born[t])
-            t = self.right[t]
-        return True
+            merges.append((u, v, self.ids[self.label[u] + self.label[v]]))
+        self._build(merges)
+
+    def _build(self, merges: list[tuple[int, int, int]]) -> None:
+        """State 0 is the start and class 0 has no arcs; at first all bytes lead to state 0 and are of class 1."""
+        single = [k for x, k in self.ids.items() if len(x) == 1]
+        state, kind = [-1] * self.size, [0] * self.size
+        for k in single:
+            state[k], kind[k] = 0, 1
+        sharing = [{0: 1 + len(single)}, {1: len(single)}]  # how many labels (and the start) a state or class has
+        rows = 1 + len(merges)
+        table = np.zeros((256, rows // 8 + 1), np.uint8)
+        table[0, 0] = 2
+        states, classes = 1, 2
+        for u, v, uv in merges:
+            if state[u] < 0 or state[v] < 0 or not table[state[u], kind[v] >> 3] >> (kind[v] & 7) & 1:
+                continue  # never applied: an earlier merge takes one of the two
+            if state[uv] >= 0:
+                raise ValueError(f"two merges make {self.label[uv]!r}")
+            state[uv] = state[v]
+            sharing[0][state[v]] += 1
+            if sharing[0][state[u]] > 1:  # the gadget's copy
+                if states == len(table):
+                    table = np.concatenate([table, np.zeros_like(table)])
+                table[states] = table[state[u]]
+                sharing[0][state[u]] -= 1
+                state[u], sharing[0][states] = states, 1
+                states += 1
+            if sharing[1][kind[v]] > 1:
+                old, new = kind[v], classes
+                table[:states, new >> 3] |= (table[:states, old >> 3] >> (old & 7) & 1) << (new & 7)
+                sharing[1][old] -= 1
+                kind[v], sharing[1][new] = new, 1
+                classes += 1
+            table[state[u], kind[v] >> 3] &= 255 ^ 1 << (kind[v] & 7)
+            kind[uv] = kind[u]
+            sharing[1][kind[u]] += 1
+        self.states, self.classes, self.width = states, classes, (classes >> 3) + 1
+        self.table = table[:states, : self.width].tobytes()
+        self.state, self.kind = state, kind
+
+    def arc(self, state: int, x: int) -> bool:
+        """Whether the state has an arc of label x."""
+        c = self.kind[x]
+        return bool(self.table[state * self.width + (c >> 3)] >> (c & 7) & 1)
 
     def word(self, raw: bytes) -> tuple[int, ...]:
         """The ids of a pre-split word."""
-        whole = self.ids.get(raw)
-        if whole is not None and self.whole(whole):
-            return (whole,)
-        n, ids, follows, size = len(raw), self.ids, self.follows, self.size
-        last = [-1] * (n + 1)
-        came = [0] * (n + 1)
-        for i in range(1, n + 1):
-            for s in range(i - 1, max(0, i - self.longest) - 1, -1):
-                x = ids.get(raw[s:i])
-                if x is None:
-                    continue
-                if s:
-                    key = last[s] * size + x
-                    ok = follows.get(key)
-                    if ok is None:
-                        if len(follows) > 2 * CACHE:
-                            follows.clear()
-                        ok = follows[key] = self._arc(last[s], x)
-                    if not ok:
-                        continue
-                elif not self.whole(x):
-                    continue
-                last[i], came[i] = x, s
-                break
-        out = []
-        while n:
-            out.append(last[n])
-            n = came[n]
-        return tuple(reversed(out))
-
-    def whole(self, x: int) -> bool:
-        """Whether the merges make token x of its own bytes: its parts do, and may meet until then."""
-        known = self.__dict__.setdefault("_whole", {})
-        if x not in known:
-            u, v, rank = self.left[x], self.right[x], self.born[x]
-            known[x] = rank < 0 or self.whole(u) and self.whole(v) and self._meet(u, v, rank)
-        return known[x]
-
-    def _meet(self, u: int, v: int, rank: int) -> bool:
-        until = rank
-        while u >= 0:
-            y, before = v, rank
-            while y >= 0:
-                r = self.lost.get((u, y))
-                if r is not None and r < until and r <= before and r < rank:
-                    return False
-                before = min(before, self.born[y])
-                y = self.left[y]
-            until = min(until, self.born[u])
-            u = self.right[u]
-        return True
+        get, table, width, kind, state = self.ids.get, self.table, self.width, self.kind, self.state
+        n, reach, at, base = len(raw), self.reach.get, 0, 0
+        out, begun, off = [], [], set()
+        while at < n:
+            for end in range(min(n, at + reach(raw[at : at + 3], 2)), at, -1):
+                x = get(raw[at:end])
+                if x is not None and end not in off:
+                    c = kind[x]
+                    if table[base + (c >> 3)] >> (c & 7) & 1:
+                        out.append(x)
+                        begun.append(at)
+                        at, base = end, state[x] * width
+                        break
+            else:  # all that is read so far is the one path to this position, so it is not on the word's path
+                off.add(at)
+                out.pop()
+                at = begun.pop()
+                base = state[out[-1]] * width if out else 0
+        return tuple(out)
 
 
 class Encoder:
@@ -173,7 +173,6 @@ class Encoder:
         """Drops what was remembered; a worker that waits for its next task should not hold it."""
         self.known.clear()
         self.pieces.clear()
-        self.automaton.follows.clear()
 
     def word(self, w: str) -> tuple[int, ...]:
         ids = self.known.get(w)
@@ -232,19 +231,38 @@ class _Pieces(dict):
             raise Odd
         if len(self) > CACHE:
             self.clear()
-        ids = self[piece] = tuple(self.encoder.words(" " + piece))
+        known = piece.isascii() or not OTHERS(piece)
+        if known and piece.isalpha():  # one word
+            ids = self.encoder.automaton.word((" " + piece).encode())
+        elif known and piece[-1] in MARKS and piece[:-1].isalpha():
+            ids = (*self[piece[:-1]], *self.encoder.word(piece[-1]))
+        else:
+            ids = tuple(self.encoder.words(" " + piece))
+        self[piece] = ids
         return ids
 
 
 _encoders: dict[str, Encoder] = {}
+_automata: dict[str, MergeAutomaton] = {}
 
 
-def encoder(text: str) -> Encoder:
-    """The encoder of a tokenizer's JSON; a worker compiles it once."""
+def automaton(path: str | None = None) -> tuple[str, MergeAutomaton]:
+    """The automaton of a tokenizer's file and its key, compiled once on the driver. Its size is the vocabulary's."""
+    with open(path or default_path(), encoding="utf-8") as file:
+        text = file.read()
     key = hashlib.sha256(text.encode()).hexdigest()
+    if key not in _automata:
+        _automata.clear()
+        _automata[key] = MergeAutomaton(text)
+    return key, _automata[key]
+
+
+def encoder(made: tuple[str, MergeAutomaton]) -> Encoder:
+    """A worker's encoder."""
+    key, found = made
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = Encoder(MergeAutomaton(text))
+        _encoders[key] = Encoder(found)
     return _encoders[key]
 
 
@@ -254,24 +272,19 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def map_texts(
-    docs: DataFrame, schema: str, f: Callable, path: str | None = None, key: str = "doc_id", rows: int = 200
-) -> DataFrame:
-    """``key`` and what ``f(encoder, text)`` returns, a tuple for the columns of ``schema``. The
-    tokenizer's file (of fixed size) is read on the driver and broadcast."""
+def map_texts(docs: DataFrame, schema: str, f: Callable, path: str | None = None, key: str = "doc_id") -> DataFrame:
+    """``key`` and what ``f(encoder, text)`` returns, a tuple for the columns of ``schema``. The automaton is broadcast."""
     spark: SparkSession = docs.sparkSession
-    with open(path or default_path(), encoding="utf-8") as file:
-        shared = spark.sparkContext.broadcast(file.read())
-    docs = docs.select(key, "text")
-    out = spark.createDataFrame([], schema).schema
+    shared = spark.sparkContext.broadcast(automaton(path))
+    docs = docs.select(key, F.col("text").cast("string").alias("text"))
+    out = T.StructType.fromDDL(schema)
     arrow = [x.type for x in to_arrow_schema(out)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(shared.value)
         try:
             for batch in batches:
-                for k in range(0, batch.num_rows, rows):
-                    part = batch.slice(k, rows)
+                for part in byte_slices(batch, 1):
                     got = zip(*[f(enc, t) for t in part.column(1).to_pylist()])
                     yield pa.RecordBatch.from_arrays(
                         [part.column(0), *[pa.array(x, type=t) for x, t in zip(got, arrow)]], names=[key, *out.names]
@@ -279,7 +292,7 @@ def map_texts(
         finally:
             enc.forget()
 
-    return docs.mapInArrow(run, StructType([docs.schema[key], *out.fields]))
+    return docs.mapInArrow(run, T.StructType([docs.schema[key], *out.fields]))
 
 
 def encode(docs: DataFrame, path: str | None = None, key: str = "doc_id") -> DataFrame:
@@ -290,8 +303,7 @@ def encode(docs: DataFrame, path: str | None = None, key: str = "doc_id") -> Dat
 def decode(encoded: DataFrame, path: str | None = None, key: str = "doc_id") -> DataFrame:
     """(key, text) of (key, ids)."""
     spark: SparkSession = encoded.sparkSession
-    with open(path or default_path(), encoding="utf-8") as file:
-        shared = spark.sparkContext.broadcast(file.read())
+    shared = spark.sparkContext.broadcast(automaton(path))
     encoded = encoded.select(key, "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,4 +312,4 @@ def decode(encoded: DataFrame, path: str | None = None, key: str = "doc_id") ->
             texts = [enc.decode(ids or []) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, type=pa.string())], names=[key, "text"])
 
-    return encoded.mapInArrow(run, StructType([encoded.schema[key], StructField("text", StringType())]))
+    return encoded.mapInArrow(run, T.StructType([encoded.schema[key], T.StructField("text", T.StringType())]))

@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ._io import byte_slices, stage
-from .bpe import OTHERS, PATTERN, byte_alphabet, default_path
+from .bpe import MARKS, OTHERS, PATTERN, byte_alphabet, default_path
 
 SHARD = 800_000
 LEAST = 7
@@ -55,7 +55,6 @@ HEAD = struct.Struct("<4sIIIIIQQ")
 CACHE = 256 << 20
 
 
-MARKS = ".,;:!?"
 #: Bytes that never occur in UTF-8.
 NEVER = (0xC0, 0xC1, *range(0xF5, 0x100))
 
