@@ -39,7 +39,7 @@ def test_held_out_accuracy(spark):
 def test_views_exchange_labels(spark):
     docs, labels = made(1500, 2)
     rows = spark.createDataFrame(docs, DOCS)
-    model = quality.learn(rows, spark.createDataFrame(labels[:1000], LABELS), quality.Sizes(pool=500, rounds=2))
+    model = quality.learn(rows, spark.createDataFrame(labels[:1000], LABELS), quality.Sizes(rounds=2))
     assert model.accuracy["kept_good"] > 0.95 and model.accuracy["rejected_bad"] > 0.9
     p = quality.score(rows, model).select("doc.doc_id", "p_text", "p_page").collect()
     junk = [r for r, (_, q, t) in zip(sorted(p), labels) if q == 0]
@@ -65,3 +65,36 @@ def test_edges(spark):
     assert quality.classify(rows.filter(F.lit(False)), spark.createDataFrame(labels, LABELS)).count() == 0
     nothing = quality.classify(rows, spark.createDataFrame([], LABELS))
     assert nothing.filter("keep").count() == len(docs) + 5 and nothing.filter("score IS NOT NULL").count() == 0
+
+
+def test_pseudo_labels_are_counted_over_all_documents(spark):
+    """The counts that are summed up in Spark, against a plain loop over the documents."""
+    docs, labels = made(900, 5)
+    rows = spark.createDataFrame(docs, DOCS).repartition(7)
+    sizes = quality.Sizes(rounds=0, confident=0.8)
+    model = quality.learn(rows, spark.createDataFrame(labels[:600], LABELS), sizes)
+    words, n_words, page, n_page = quality.pseudo_counts(rows, model.views, sizes)
+    scored = {r.doc.doc_id: r for r in quality.score(rows, model).collect()}
+    want, n = {}, [0, 0]
+    for d, text, *_ in docs:
+        p = scored[d].p_page
+        for k, sure in ((0, p >= 0.8), (1, p <= 1 - 0.8)):
+            if sure:
+                n[k] += 1
+                for h in quality.word_ids(text):
+                    want.setdefault(h, [0, 0])[k] += 1
+    assert n_words.tolist() == n and min(n) > 0
+    assert {int(h): words[h].tolist() for h in words.any(1).nonzero()[0]} == want
+    sure = [r.p_text >= 0.8 for r in scored.values()], [r.p_text <= 1 - 0.8 for r in scored.values()]
+    assert n_page.tolist() == [sum(x) for x in sure]
+    assert page.sum() == sum(n_page) * (len(model.views.edges) + 2)
+
+
+def test_ties_and_repeated_rows(spark):
+    docs, labels = made(500, 6)
+    rows = spark.createDataFrame(docs + docs[:40] + docs[:40], DOCS)
+    got = quality.classify(rows, spark.createDataFrame(labels, LABELS)).collect()
+    seen = {}
+    for r in got:
+        seen.setdefault(r.doc.doc_id, set()).add((r.score, r.keep))
+    assert len(got) == 580 and all(len(x) == 1 for x in seen.values())
