@@ -102,3 +102,19 @@ def hot_join(rows: DataFrame, side: DataFrame, key: str, how: str = "inner") ->
     few = side.join(F.broadcast(hot), is_hot(side), "left_semi")
     warm = rows.join(F.broadcast(hot), is_hot(rows), "left_semi").join(F.broadcast(few), key, how)
     return cold.unionByName(warm)
+
+
+#: Buckets that a table of ids is told by.
+ID_BUCKETS = 1 << 20
+
+
+def split_by(docs: DataFrame, key, special: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``docs`` in two: rows whose ``key`` (a column of them) certainly is not in ``special`` (a table of one column of
+    keys), and all others, which have to be joined. Only hashes of the keys are broadcast, a million at most, so
+    the texts of the first rows are not moved. Keys and hashes are of any type; null is a key."""
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(ID_BUCKETS))
+    held = stage(special.select(bucket(F.col(special.columns[0])).alias("id_bucket")).distinct(), "id_buckets")
+    marked = docs.withColumn("own_bucket", bucket(key))
+    same = F.col("own_bucket") == F.col("id_bucket")
+    few = F.broadcast(held)
+    return tuple(marked.join(few, same, how).drop("own_bucket") for how in ("left_anti", "left_semi"))

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._io import drop_staged, hot_join, stage
+from ._io import drop_staged, hot_join, split_by, stage
 
 
 def digest(text: str = "text"):
@@ -143,12 +143,16 @@ def distinct(docs: DataFrame, index: DigestIndex) -> DataFrame:
 
 def _rows_of(docs: DataFrame, rows: DataFrame, entries: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``entries`` keep. Only rows that have the kept id are joined and moved."""
-    kept = assign(rows, entries).filter(F.col("doc_id").eqNullSafe(F.col("keep_id")) & F.col("keep_row").isNotNull())
+    each = stage(assign(rows, entries), "assigned")
+    repeated = each.filter("NOT kept").select("digest").distinct()
+    kept = each.filter(F.col("doc_id").eqNullSafe(F.col("keep_id")) & F.col("keep_row").isNotNull())
     kept = kept.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     kept = stage(kept.select(F.col("digest").alias("kept_digest"), F.col("doc_id").alias("kept_id"), "n"), "kept")
     drop_staged(rows)
     doc = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.unhex(digest()).alias("digest"))
-    mine = doc.join(kept, (doc["digest"] == kept["kept_digest"]) & F.col("doc.doc_id").eqNullSafe(F.col("kept_id")))
+    # texts that occur once, and are new, are not moved, but for a few
+    sure, rest = split_by(doc, F.col("digest"), repeated)
+    mine = rest.join(kept, (rest["digest"] == kept["kept_digest"]) & F.col("doc.doc_id").eqNullSafe(F.col("kept_id")))
     once = mine.filter("n = 1").select("doc")
     again = mine.filter("n > 1").groupBy("kept_digest", "kept_id").agg(F.max("doc").alias("doc")).select("doc")
-    return once.unionByName(again).select("doc.*")
+    return sure.select("doc").unionByName(once).unionByName(again).select("doc.*")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ._io import byte_slices, drop_staged, hot_join, stage
+from ._io import byte_slices, drop_staged, hot_join, split_by, stage
 from .components import components
 
 DISTANCE = 4
@@ -248,21 +248,22 @@ def deduplicate(docs: DataFrame, size: int = 4, distance: int = DISTANCE, **how)
 
 def first_rows(docs: DataFrame, found: DataFrame, printed) -> DataFrame:
     """The rows of ``docs`` that stay by ``found``, a staged table of (doc_id, fp, component, component_id);
-    ``printed`` adds ``fp`` to rows with a column ``doc``."""
-    ids = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    first = first.groupBy("doc_id", "component").agg(F.min("fp").alias("kept_fp"))
+    ``printed`` adds ``fp`` to rows with a column ``doc``. Texts of rows that stay and share their id with none are not
+    moved, but for a few."""
+    leads = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    ids = stage(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max(leads).alias("leads")), "ids")
+    first = found.filter(leads).groupBy("doc_id", "component").agg(F.min("fp").alias("kept_fp"))
     kept = first.withColumnRenamed("doc_id", "kept_id").join(ids, F.col("kept_id").eqNullSafe(F.col("doc_id")))
     kept = stage(kept.select("kept_id", "kept_fp", "rows"), "kept")
     drop_staged(found)
     doc = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    many = stage(kept.filter("rows > 1"), "kept_again")  # hardly any; a table of its own, so texts are moved once
-    own = lambda part: doc.join(part, F.col("doc.doc_id").eqNullSafe(F.col("kept_id")))
+    sure, rest = split_by(doc, F.col("doc.doc_id"), ids.filter("NOT leads OR rows > 1").select("doc_id"))
+    own = lambda part: rest.join(part, F.col("doc.doc_id").eqNullSafe(F.col("kept_id")))
     once = own(kept.filter("rows = 1")).select("doc")
-    again = own(many).select("doc", "kept_id", "kept_fp")
+    again = own(stage(kept.filter("rows > 1"), "kept_again")).select("doc", "kept_id", "kept_fp")
     prints = printed(again).filter("fp = kept_fp")
     again = prints.groupBy("kept_id", "kept_fp").agg(F.max("doc").alias("doc")).select("doc")
-    return once.unionByName(again).select("doc.*")
+    return sure.unionByName(once).unionByName(again).select("doc.*")
 
 
 def fingerprint_column(rows: DataFrame, size: int) -> DataFrame:

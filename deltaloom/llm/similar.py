@@ -13,7 +13,8 @@ similarity reaches the threshold, so no documents are linked that are less alike
 
 * A cell's group of at most ``FEW`` connected fingerprints hands on all its candidates. A larger one hands on a star
   around the fingerprint nearest to the group's majority, and its members. After the stars are verified and
-  connected, groups that are not yet one component hand on all candidates between different components.
+  connected, clusters of such groups that are not yet one component are dealt as tiles of ``BLOCK`` with their whole
+  sets: a tile compares its candidates of different components, and only links leave it.
 * Cells of more than ``TILE`` fingerprints are dealt as tiles, and a hub's partners in blocks, so that no task gets
   more than that.
 
@@ -266,25 +267,45 @@ def whole_keys(batches: Iterator[pa.RecordBatch], rows: int = 100_000) -> Iterat
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def between(groups: DataFrame, least: int) -> DataFrame:
-    """(a, b, block): candidates between different components in (key, node, n, f0, ..., label), a group a key."""
+def between(members: DataFrame, whole: DataFrame, least: int, part: int = BLOCK // 2) -> DataFrame:
+    """(a, b): verified links between different components in (cluster, node, n, label, f0, ...). A cluster's nodes are
+    split into parts, and each pair of parts is a tile with its whole sets: what is compared stays in the task, and
+    only links leave it."""
+    sizes = members.groupBy("cluster").count()
+    zero, parts = F.lit(0).cast("long"), F.ceil(F.col("count") / part).cast("long")
+    dealt = members.join(sizes, "cluster").withColumn("parts", parts).withColumn("mine", F.pmod(F.xxhash64("node"), "parts")).drop("count")
+    tiles = F.transform(F.sequence(zero, F.col("parts") - 1), lambda k: F.least(k, "mine") * F.col("parts") + F.greatest(k, "mine"))
+    dealt = dealt.join(whole, "node").withColumn("tile", F.explode(tiles)).withColumn("key", F.xxhash64("cluster", "tile"))
+    dealt = dealt.withColumn("within", F.col("tile") % (F.col("parts") + 1) == 0).select("key", "node", "n", "label", "mine", "within", "shingles", *PRINTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in whole_keys(batches, 2 * TILE):
-            keys, node, n, label, prints = *(part.column(c).to_numpy() for c in ("key", "node", "n", "label")), _columns(part)
+        for some in whole_keys(batches, BLOCK):
+            keys, node, n, label, mine = (some.column(c).to_numpy() for c in ("key", "node", "n", "label", "mine"))
+            within, prints, lists = some.column("within").to_numpy(zero_copy_only=False), _columns(some), some.column("shingles")
+            flat, at = lists.values.to_numpy().view(U), lists.offsets.to_numpy()
             ends = np.append(np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys))
-            for s, e in zip(np.append(0, ends[:-1]), ends):
-                own = np.arange(s, e)
-                names, of, size = np.unique(label[own], return_inverse=True, return_counts=True)
-                rank = np.argsort(np.argsort(size, kind="stable"), kind="stable")[of]  # each is held against larger components
-                for place, i in enumerate(own):
-                    rest = own[rank > rank[place]]
-                    hit = rest[candidates(np.broadcast_to(prints[i], (len(rest), WORDS)), prints[rest], np.broadcast_to(n[i], len(rest)), n[rest], least)]
-                    if len(hit):
-                        names_ = ["a", "b", "block"]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), node[i])), pa.array(node[hit]), pa.array(1 + np.arange(len(hit)) // BLOCK)], names=names_)
-
-    return groups.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, block long")
+            for s, e in zip(np.append(0, ends[:-1]).tolist(), ends.tolist()):
+                for i in range(s, e):
+                    rest = np.arange(i + 1, e)
+                    # a tile of two parts compares those of one with those of the other
+                    rest = rest[(label[rest] != label[i]) & (within[i] | (mine[rest] != mine[i]))]
+                    rest = rest[candidates(np.broadcast_to(prints[i], (len(rest), WORDS)), prints[rest], np.broadcast_to(n[i], len(rest)), n[rest], least)]
+                    if len(rest):
+                        rest = rest[alike(flat[at[i] : at[i + 1]], flat, at, rest, least)]
+                    if len(rest):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rest), node[i])), pa.array(node[rest])], names=["a", "b"])
+
+    return stage(dealt.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long"), "verified")
+
+
+def alike(hub: np.ndarray, flat: np.ndarray, at: np.ndarray, some: np.ndarray, least: int) -> np.ndarray:
+    """Which of ``some`` lists (of ``flat``, from ``at`` on; none is empty) are as similar to ``hub`` as asked."""
+    sizes = at[some + 1] - at[some]
+    first = np.cumsum(sizes) - sizes
+    own = flat[np.repeat(at[some] - first, sizes) + np.arange(sizes.sum())]
+    place = np.minimum(np.searchsorted(hub, own), len(hub) - 1)
+    common = np.add.reduceat((hub[place] == own).astype(np.int64), first)
+    return common * (UNIT + least) >= least * (sizes + len(hub))
 
 
 def whole_sets(docs: DataFrame, size: int, nodes: DataFrame, needed: DataFrame) -> DataFrame:
@@ -328,17 +349,14 @@ def verified(pairs: DataFrame, whole: DataFrame, least: int) -> DataFrame:
                 s += int((rank[s:e] == 0).sum())
                 if s == e or not len(hub):
                     continue
-                some, first = flat[ends[s] : ends[e]], ends[s:e] - ends[s]
-                at = np.minimum(np.searchsorted(hub, some), len(hub) - 1)
-                common = np.add.reduceat((hub[at] == some).astype(np.int64), first)
-                ok = np.flatnonzero(common * (UNIT + least) >= least * (np.diff(ends[s : e + 1]) + len(hub)))
+                ok = np.flatnonzero(alike(hub, flat, ends, np.arange(s, e), least))
                 if len(ok):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ok), hub_node)), pa.array(node[s:e][ok])], names=["a", "b"])
 
     return stage(dealt.select("key", "rank", "node", "shingles").mapInArrow(run, "a long, b long"), "verified")
 
 
-def links(docs: DataFrame, size: int, nodes: DataFrame, least: int, tile: int = TILE, few: int = FEW) -> DataFrame:
+def links(docs: DataFrame, size: int, nodes: DataFrame, least: int, tile: int = TILE, few: int = FEW, part: int = BLOCK // 2) -> DataFrame:
     """(a, b): links among the nodes."""
     found = met(nodes, least, tile, few)
     pairs = stage(found.filter("b IS NOT NULL").groupBy("a", "b").agg(F.min("block").alias("block")), "pairs")
@@ -349,14 +367,13 @@ def links(docs: DataFrame, size: int, nodes: DataFrame, least: int, tile: int =
     first = verified(pairs, whole, least)
     if members.isEmpty():
         return first
-    named = components(first)
-    labels = members.join(named, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
-    labels = stage(labels, "members")
-    open_ = labels.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-    groups = labels.join(open_, "key").join(nodes.select("node", "n", *PRINTS), "node")
-    more = between(groups.select("key", "node", "n", "label", *PRINTS), least)
-    more = stage(more.groupBy("a", "b").agg(F.min("block").alias("block")), "pairs").join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-    return first.union(verified(more, whole, least))
+    # groups of different cells that share a node are one cluster
+    clusters = components(members.select("key", "node")).select("node", F.col("component").alias("cluster"))
+    labels = members.select("node").distinct().join(clusters, "node").join(components(first).select("node", F.col("component").alias("label")), "node", "left")
+    labels = stage(labels.withColumn("label", F.coalesce("label", "node")), "members")
+    open_ = labels.groupBy("cluster").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("cluster")
+    groups = labels.join(open_, "cluster").join(nodes.select("node", "n", *PRINTS), "node")
+    return first.union(between(groups, whole, least, part))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, **how) -> DataFrame:

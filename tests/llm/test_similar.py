@@ -52,7 +52,7 @@ def linked_by(label):
     return {(i, j) for j in range(len(label)) for i in range(j) if label[i] == label[j]}
 
 
-@pytest.mark.parametrize("how", [{}, {"few": 4, "tile": 24}])
+@pytest.mark.parametrize("how", [{}, {"few": 4, "tile": 24, "part": 8}])
 def test_links_against_brute_force(spark, how):
     texts = planted()
     want = linked_by(brute(texts))
