@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -118,3 +119,24 @@ def split_by(docs: DataFrame, key, special: DataFrame) -> tuple[DataFrame, DataF
     same = F.col("own_bucket") == F.col("id_bucket")
     few = F.broadcast(held)
     return tuple(marked.join(few, same, how).drop("own_bucket") for how in ("left_anti", "left_semi"))
+
+
+def release() -> None:
+    """Gives memory that is free back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not every C library has it
+
+
+def tidy(run: Callable) -> Callable:
+    """``run`` for ``mapInArrow``, after which a worker that waits for its next task does not hold what it needed."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidied

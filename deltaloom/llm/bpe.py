@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from tokenizers.pre_tokenizers import ByteLevel
 
-from ._io import byte_slices
+from ._io import byte_slices, tidy
 
 #: Fixed value: the pre-splitting pattern of byte-level vocabularies.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -45,7 +45,7 @@ OTHERS = regex.compile(r"[^\x00-\x1b\x20-\u052f\u2000-\u205e\u3041-\u3096\u30a1-
 #: Characters that are a word of their own after letters.
 MARKS = ".,;:!?"
 #: Entries that a worker remembers before it forgets them all.
-CACHE = 800_000
+CACHE = 200_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -292,7 +292,7 @@ def map_texts(docs: DataFrame, schema: str, f: Callable, path: str | None = None
         finally:
             enc.forget()
 
-    return docs.mapInArrow(run, T.StructType([docs.schema[key], *out.fields]))
+    return docs.mapInArrow(tidy(run), T.StructType([docs.schema[key], *out.fields]))
 
 
 def encode(docs: DataFrame, path: str | None = None, key: str = "doc_id") -> DataFrame:
@@ -312,4 +312,4 @@ def decode(encoded: DataFrame, path: str | None = None, key: str = "doc_id") ->
             texts = [enc.decode(ids or []) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, type=pa.string())], names=[key, "text"])
 
-    return encoded.mapInArrow(run, T.StructType([encoded.schema[key], T.StructField("text", T.StringType())]))
+    return encoded.mapInArrow(tidy(run), T.StructType([encoded.schema[key], T.StructField("text", T.StringType())]))

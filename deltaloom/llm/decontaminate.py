@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._io import stage
+from ._io import byte_slices, stage, tidy
 
 WINDOW = 10
 MAX_WORDS = 4_000_000
@@ -211,7 +211,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_words:
         def search(batches, shared=shared):
             auto = shared.value
             for batch in batches:
-                for part in slices(batch):
+                for part in byte_slices(batch, 0):
                     n, spans, items = [], [], []
                     texts = part.column(0).field("text").to_pylist()
                     for text, old, was in zip(texts, part.column(2).to_pylist(), part.column(3).to_pylist()):
@@ -223,15 +223,10 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_words:
                     new = [pa.array(x, type=t) for x, t in zip((n, [[list(s) for s in x] for x in spans], items), ARROW_FOUND)]
                     yield pa.RecordBatch.from_arrays([part.column(0), *new], names=part.schema.names)
 
-        rows = rows.mapInArrow(search, rows.schema)
+        rows = rows.mapInArrow(tidy(search), rows.schema)
     return rows
 
 
-def slices(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
-    for k in range(0, batch.num_rows, rows):
-        yield batch.slice(k, rows)
-
-
 def covered(spans):
     return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
 

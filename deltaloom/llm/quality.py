@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._io import byte_slices, least_hashed, stage
+from ._io import byte_slices, least_hashed, release, stage, tidy
 
 #: Not word characters, and capitals, in bytes.
 WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -49,7 +49,7 @@ BUCKETS = 1 << 18
 class Sizes:
     """Bounds of what is fitted on."""
 
-    labelled: int = 12_000
+    labelled: int = 9_000
     entries: int = 8_000_000
     rounds: int = 2
     confident: float = 0.97
@@ -374,7 +374,7 @@ def pseudo_counts(docs: DataFrame, views: Views, sizes: Sizes) -> tuple[np.ndarr
         at = np.flatnonzero(total.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at, 0]), pa.array(total[at, 1])], names=["feature", "good", "bad"])
 
-    each = rows.mapInArrow(run, "feature long, good long, bad long")
+    each = rows.mapInArrow(tidy(run), "feature long, good long, bad long")
     found = each.groupBy("feature").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).toArrow()
     total = np.zeros((BUCKETS + size + 2, 2), np.int64)
     total[found.column("feature").to_numpy()] = np.column_stack([found.column(c).to_numpy() for c in ("good", "bad")])
@@ -389,7 +389,10 @@ def train(docs: DataFrame, sample: dict, sizes: Sizes) -> Model | None:
     views = trainer.views(np.zeros((BUCKETS, 2), np.int64), none, np.zeros((trainer.page.size, 2), np.int64), none)
     for _ in range(sizes.rounds):
         views = trainer.views(*pseudo_counts(docs, views, sizes))
-    return trainer.model(views)
+    try:
+        return trainer.model(views)
+    finally:
+        release()
 
 
 def _inputs_of(part: pa.RecordBatch, first: int, buckets: int) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -418,7 +421,7 @@ def features(docs: DataFrame, key: list[str], buckets: int) -> DataFrame:
             )
 
     extra = [("words", T.LongType()), ("stats", T.DoubleType()), ("names", T.LongType())]
-    return rows.mapInArrow(run, T.StructType([*[rows.schema[c] for c in key], *[T.StructField(n, T.ArrayType(t)) for n, t in extra]]))
+    return rows.mapInArrow(tidy(run), T.StructType([*[rows.schema[c] for c in key], *[T.StructField(n, T.ArrayType(t)) for n, t in extra]]))
 
 
 def inputs(docs: DataFrame, of: str = "") -> list:
@@ -482,7 +485,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             )
 
     out = T.StructType([doc.schema["doc"], *[T.StructField(c, T.DoubleType()) for c in ("p_text", "p_page", "score")], T.StructField("keep", T.BooleanType())])
-    return rows.mapInArrow(run, out)
+    return rows.mapInArrow(tidy(run), out)
 
 
 def classify(docs: DataFrame, labels: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:

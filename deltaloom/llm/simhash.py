@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ._io import byte_slices, drop_staged, hot_join, split_by, stage
+from ._io import byte_slices, drop_staged, hot_join, split_by, stage, tidy
 from .components import components
 
 DISTANCE = 4
@@ -89,7 +89,7 @@ def fingerprints(docs: DataFrame, size: int = 4) -> DataFrame:
                 fp = majority_bits(flat, sizes).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp)], names=["doc_id", "fp"])
 
-    return rows.mapInArrow(run, StructType([docs.schema["doc_id"], StructField("fp", LongType())]))
+    return rows.mapInArrow(tidy(run), StructType([docs.schema["doc_id"], StructField("fp", LongType())]))
 
 
 def signed(x: int) -> int:
@@ -208,7 +208,7 @@ def links(fps: DataFrame, distance: int = DISTANCE, blocks: int | None = None, t
         if len(keys):
             yield _pairs(*forest(keys, fp, distance))
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(tidy(run), "a long, b long")
 
 
 def _last_run(keys: np.ndarray) -> int:

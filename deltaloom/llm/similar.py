@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from ._io import byte_slices, drop_staged, hot_join, stage
+from ._io import byte_slices, drop_staged, hot_join, stage, tidy
 from .components import components
 from .substring import mix
 
@@ -206,7 +206,7 @@ def sets(docs: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), node, n, *map(pa.array, prints.T)], names=["doc_id", "node", "n", *PRINTS])
 
     schema = f"doc_id {id_type}, node long, n long, " + ", ".join(f"{f} long" for f in PRINTS)
-    return stage(rows.mapInArrow(run, schema).withColumn("rid", F.monotonically_increasing_id()), "wide_prints")
+    return stage(rows.mapInArrow(tidy(run), schema).withColumn("rid", F.monotonically_increasing_id()), "wide_prints")
 
 
 def met(nodes: DataFrame, least: int, tile: int, few: int, plan_=plan) -> DataFrame:
@@ -223,7 +223,7 @@ def met(nodes: DataFrame, least: int, tile: int, few: int, plan_=plan) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), *(c.take(again) for c in part.columns)], names=["key", *part.schema.names])
 
     columns = ["node", "n", *PRINTS]
-    cells = nodes.filter("n > 0").select(*columns).mapInArrow(emit, "key long, " + ", ".join(f"{c} long" for c in columns))
+    cells = nodes.filter("n > 0").select(*columns).mapInArrow(tidy(emit), "key long, " + ", ".join(f"{c} long" for c in columns))
     big = stage(cells.groupBy("key").count().filter(F.col("count") > tile), "large_cells")
     if not big.isEmpty():
         # a fingerprint of a large cell goes to all tiles (i, j), i <= j, of its own part
@@ -246,7 +246,7 @@ def met(nodes: DataFrame, least: int, tile: int, few: int, plan_=plan) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(node[of]), none, none, pa.array(name)], names=["a", "b", "block", "grp"])
 
     dealt = cells.repartition("key").sortWithinPartitions("key")
-    return stage(dealt.mapInArrow(run, "a long, b long, block long, grp long"), "met")
+    return stage(dealt.mapInArrow(tidy(run), "a long, b long, block long, grp long"), "met")
 
 
 def whole_keys(batches: Iterator[pa.RecordBatch], rows: int = 100_000) -> Iterator[pa.RecordBatch]:
@@ -295,7 +295,7 @@ def between(members: DataFrame, whole: DataFrame, least: int, part: int = BLOCK
                     if len(rest):
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rest), node[i])), pa.array(node[rest])], names=["a", "b"])
 
-    return stage(dealt.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long"), "verified")
+    return stage(dealt.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(run), "a long, b long"), "verified")
 
 
 def alike(hub: np.ndarray, flat: np.ndarray, at: np.ndarray, some: np.ndarray, least: int) -> np.ndarray:
@@ -322,7 +322,7 @@ def whole_sets(docs: DataFrame, size: int, nodes: DataFrame, needed: DataFrame)
                 held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(each).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array([*map(node_of, each)], pa.int64()), held], names=["node", "shingles"])
 
-    found = texts.mapInArrow(run, "node long, shingles array<long>").join(needed, "node", "left_semi")
+    found = texts.mapInArrow(tidy(run), "node long, shingles array<long>").join(needed, "node", "left_semi")
     return stage(found.dropDuplicates(["node"]), "candidate_sets")
 
 
@@ -353,7 +353,7 @@ def verified(pairs: DataFrame, whole: DataFrame, least: int) -> DataFrame:
                 if len(ok):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ok), hub_node)), pa.array(node[s:e][ok])], names=["a", "b"])
 
-    return stage(dealt.select("key", "rank", "node", "shingles").mapInArrow(run, "a long, b long"), "verified")
+    return stage(dealt.select("key", "rank", "node", "shingles").mapInArrow(tidy(run), "a long, b long"), "verified")
 
 
 def links(docs: DataFrame, size: int, nodes: DataFrame, least: int, tile: int = TILE, few: int = FEW, part: int = BLOCK // 2) -> DataFrame:

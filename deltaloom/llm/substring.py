@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._io import drop_staged, stage
+from ._io import byte_slices, drop_staged, stage, tidy
 
 WINDOW = 50
 ROUNDS = ("run", "pair", "pair", "run", "pair", "pair", "pair", "pair", "pair")
@@ -209,12 +209,6 @@ def _words(text: str | None) -> list[bytes]:
     return text.encode().split() if text else []
 
 
-def _parts(batches: Iterator[pa.RecordBatch], rows: int = 100) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for k in range(0, batch.num_rows, rows):
-            yield batch.slice(k, rows)
-
-
 def _longs(arrays) -> pa.Array:
     """A list<long> column of arrays of unsigned names."""
     sizes = [len(x) for x in arrays]
@@ -230,18 +224,18 @@ def handed_in(docs: DataFrame, window: int) -> DataFrame:
     """(doc_id, digest, names) of (doc_id, digest, text)."""
 
     def run(batches):
-        for part in _parts(batches):
+        for part in (p for b in batches for p in byte_slices(b, 2)):
             parsed = Parsed([name_words(_words(t)) for t in part.column(2).to_pylist()], window)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _longs(parsed.all_names())], names=["doc_id", "digest", "names"])
 
-    return docs.mapInArrow(run, T.StructType([docs.schema["doc_id"], docs.schema["digest"], T.StructField("names", T.ArrayType(T.LongType()))]))
+    return docs.mapInArrow(tidy(run), T.StructType([docs.schema["doc_id"], docs.schema["digest"], T.StructField("names", T.ArrayType(T.LongType()))]))
 
 
 def candidate_windows(docs: DataFrame, window: int) -> DataFrame:
     """(doc_id, a, b): the names of the windows of (doc_id, text, names) that may occur elsewhere, each once."""
 
     def run(batches):
-        for part in _parts(batches):
+        for part in (p for b in batches for p in byte_slices(b, 1)):
             words = [name_words(_words(t)) for t in part.column(1).to_pylist()]
             parsed = Parsed(words, window)
             k = parsed.candidates(_names_of(part.column(2)))
@@ -253,7 +247,7 @@ def candidate_windows(docs: DataFrame, window: int) -> DataFrame:
             ids = part.column(0).take(pa.array(of[new]))
             yield pa.RecordBatch.from_arrays([ids, pa.array(a[new].view(np.int64)), pa.array(b[new].view(np.int64))], names=["doc_id", "a", "b"])
 
-    return docs.mapInArrow(run, T.StructType([docs.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in "ab"]]))
+    return docs.mapInArrow(tidy(run), T.StructType([docs.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in "ab"]]))
 
 
 def shared_only(rows: DataFrame, key: list[str]) -> DataFrame:
@@ -318,7 +312,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     )
 
     def run(batches):
-        for part in _parts(batches):
+        for part in (p for b in batches for p in byte_slices(b, 1)):
             n, m, kept = [], [], []
             for text, copy, names in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), _names_of(part.column(3))):
                 words = _words(text)
@@ -332,4 +326,4 @@ def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             )
 
     out = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]
-    return rows.mapInArrow(run, T.StructType([rows.schema["doc"], *out]))
+    return rows.mapInArrow(tidy(run), T.StructType([rows.schema["doc"], *out]))

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ._io import byte_slices, stage
+from ._io import byte_slices, stage, tidy
 from .bpe import MARKS, OTHERS, PATTERN, byte_alphabet, default_path
 
 SHARD = 800_000
@@ -441,7 +441,7 @@ def write(docs: DataFrame, path: str | None = None, end_id: int = 2, shard: int
         if held:
             yield flush()
 
-    out = rows.mapInArrow(run, "part int, seq int, doc_ids array<long>, offset long, n_ids long, data binary")
+    out = rows.mapInArrow(tidy(run), "part int, seq int, doc_ids array<long>, offset long, n_ids long, data binary")
     return stage(out, "token_shards")
 
 
@@ -485,4 +485,4 @@ def each_document(shards: DataFrame, column: str, f) -> DataFrame:
                         names=["doc_id", "start", "n_tokens", name],
                     )
 
-    return rows.mapInArrow(run, f"doc_id long, start long, n_tokens long, {column}")
+    return rows.mapInArrow(tidy(run), f"doc_id long, start long, n_tokens long, {column}")
