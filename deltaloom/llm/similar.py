@@ -12,7 +12,7 @@ Hamming distance are candidates. All are verified by their whole sets: a link is
 similarity reaches the threshold, so no documents are linked that are less alike.
 
 * A cell's group of at most ``FEW`` connected fingerprints hands on all its candidates. A larger one hands on a star
-  around the fingerprint nearest to the group's majority, and its members. After the stars are verified and
+  around the fingerprint nearest to the group's majority, and its members; of a node's stars a few are taken. After the stars are verified and
   connected, clusters of such groups that are not yet one component are dealt as tiles of ``BLOCK`` with their whole
   sets: a tile compares its candidates of different components, and only links leave it.
 * Cells of more than ``TILE`` fingerprints are dealt as tiles, and a hub's partners in blocks, so that no task gets
@@ -41,7 +41,7 @@ from .components import components
 from .substring import mix
 
 WORDS, FAR = 4, 64
-FEW, TILE, BLOCK = 32, 4_096, 512
+FEW, TILE, BLOCK, HUBS = 32, 4_096, 512, 4
 #: Similarities are whole thousandths, so that all comparisons are of whole numbers.
 UNIT = 1000
 U = np.uint64
@@ -359,7 +359,11 @@ def verified(pairs: DataFrame, whole: DataFrame, least: int) -> DataFrame:
 def links(docs: DataFrame, size: int, nodes: DataFrame, least: int, tile: int = TILE, few: int = FEW, part: int = BLOCK // 2) -> DataFrame:
     """(a, b): links among the nodes."""
     found = met(nodes, least, tile, few)
-    pairs = stage(found.filter("b IS NOT NULL").groupBy("a", "b").agg(F.min("block").alias("block")), "pairs")
+    pairs = found.filter("b IS NOT NULL").groupBy("a", "b").agg(F.min("block").alias("block"))
+    # of the hubs of a node, one or none for each grid, the first few do: what they do not connect is left to the tiles
+    hubs = F.slice(F.array_sort(F.collect_list(F.struct("a", "block"))), 1, HUBS)
+    stars = pairs.filter("block > 0").groupBy("b").agg(hubs.alias("h")).select("b", F.explode("h").alias("h")).select("h.a", "b", "h.block")
+    pairs = stage(pairs.filter("block = 0").unionByName(stars), "pairs")
     members = stage(found.filter("grp IS NOT NULL").select(F.col("grp").alias("key"), F.col("a").alias("node")), "members")
     drop_staged(found)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(members.select("node"))
@@ -368,7 +372,8 @@ def links(docs: DataFrame, size: int, nodes: DataFrame, least: int, tile: int =
     if members.isEmpty():
         return first
     # groups of different cells that share a node are one cluster
-    clusters = components(members.select("key", "node")).select("node", F.col("component").alias("cluster"))
+    least_of = members.groupBy("key").agg(F.min("node").alias("first"))
+    clusters = components(members.join(least_of, "key").select("first", "node")).select("node", F.col("component").alias("cluster"))
     labels = members.select("node").distinct().join(clusters, "node").join(components(first).select("node", F.col("component").alias("label")), "node", "left")
     labels = stage(labels.withColumn("label", F.coalesce("label", "node")), "members")
     open_ = labels.groupBy("cluster").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("cluster")
