@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import binascii
 import zlib
 
 import pandas as pd
@@ -13,24 +14,8 @@ from pyspark.sql.types import LongType
 CRC16_POLY, CRC16_START = 0x1021, 0xFFFF
 
 
-def _crc16_table() -> list[int]:
-    table = []
-    for b in range(256):
-        c = b << 8
-        for _ in range(8):
-            c = (c << 1 ^ CRC16_POLY if c & 0x8000 else c << 1) & 0xFFFF
-        table.append(c)
-    return table
-
-
-_TABLE = _crc16_table()
-
-
 def crc16(data: bytes) -> int:
-    c = CRC16_START
-    for b in data:
-        c = (c << 8 & 0xFFFF) ^ _TABLE[c >> 8 ^ b]
-    return c
+    return binascii.crc_hqx(data, CRC16_START)
 
 
 def adler32(data: bytes) -> int:

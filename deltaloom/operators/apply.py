@@ -118,6 +118,8 @@ def run(p: Patch, source: bytes) -> bytes:
                     out += within(source, at[k], r.len)
                 at[k] += r.len
     elif f in ("GDIFF", "xdelta1"):
+        if p.meta.get("compressed"):  # the patch is for what was inside, not for the bytes at hand
+            raise WireError(f"{p.meta['compressed']} compressed when the patch was made")
         for r in p.records:
             out += r.payload if r.payload is not None else within(source, r.src_off, r.len)
     elif f == "DPS":
@@ -178,9 +180,14 @@ def undo(p: Patch, target: bytes) -> bytes:
         return ninja2(p, target, p.target_size, p.source_size, "M")
     if p.format == "PPF3" and p.meta.get("undo") == "True":
         out = bytearray(target)
-        for r in reversed(p.records):  # the first writer of a byte saw the original
-            n = max(0, min(r.len, len(out) - r.off))
-            out[r.off : r.off + n] = r.undo[:n]
+        for k, r in enumerate(p.records if target else ()):  # in their order; an empty image has nothing to put back
+            original = r.undo or b""
+            if original and r.off < 0:
+                raise WireError(f"record {k}: negative offset {r.off}")
+            if original and r.off + len(original) > len(out):
+                raise WireError(f"record {k}: past the end of the image")
+            if original:
+                out[r.off : r.off + len(original)] = original
         return bytes(out)
     raise WireError("this format cannot be undone" if p.format != "PPF3" else "no originals are carried")
 

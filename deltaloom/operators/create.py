@@ -140,6 +140,8 @@ def refuse_size(fmt: str, source: bytes, target: bytes) -> None:
         raise WireError("a shrink cannot be written")
     if fmt == "PPF2" and a < 0x9320 + 1024:
         raise WireError("the source is too small for its check")
+    if fmt == "IPS" and (b > 0xFFFFFF + 0xFFFF if b > a else b < a and b > 0xFFFFFF):
+        raise WireError("the target is beyond the format")
     if fmt == "UPS" and any(source[b:]):
         raise WireError("the source has more than zeros beyond the target")
 
@@ -403,6 +405,8 @@ def create_patches(pairs: DataFrame, fmt: str) -> DataFrame:
                     out = create(fmt, source or b"", target or b"")
                 except WireError as e:
                     error = str(e)
+                except (OverflowError, struct.error):  # a number that the format has no room for
+                    error = "a value beyond the format"
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([ident], pa.int64()), pa.array([fmt]), pa.array([out], pa.binary()), pa.array([error], pa.string())], names=["id", "format", "patch", "error"]
                 )

@@ -563,7 +563,7 @@ def xdelta1(data: bytes) -> Patch:
     p = Patch("xdelta1")
     p.meta |= {"from-name": text(data[32 : 32 + (names >> 16)]), "to-name": text(data[32 + (names >> 16) : start])}
     if flags & 6:
-        p.advisories.append("files were compressed")
+        p.meta["compressed"] = ["the source was", "the target was", "both were"][(flags & 6) // 2 - 1]
     store = inflate(data[start:where])
     c = Cursor(inflate(data[where:-12]))
     c.take(8)

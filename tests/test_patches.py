@@ -1,5 +1,6 @@
 """Every format: created, parsed and applied; undone where it can be; cut short at any place."""
 
+import struct
 import zlib
 
 import pytest
@@ -7,7 +8,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from deltaloom.operators.apply import run, undo
-from deltaloom.operators.create import ENCODERS, create, format_of
+from deltaloom.operators.create import ENCODERS, create, create_patches, format_of
+from deltaloom.sources import containers
 from deltaloom.sources.wire import DECODERS, WireError, is_dps, parse
 
 blobs = st.binary(max_size=600)
@@ -129,3 +131,53 @@ def test_names_of_formats():
         format_of("x.txt")
     assert is_dps(create("DPS", b"abc", b"abd")) and not is_dps(create("DPS", b"abc", b"abd")[:-1])
     assert set(ENCODERS) == set(DECODERS)
+
+
+def test_numbers_beyond_a_format_are_rows(spark):
+    """A pair too large for IPS is a row with its error, not a failed job."""
+    rows = [(1, bytes(17 << 20), bytes((16 << 20) + 5)), (2, b"abc", b"abd")]
+    made = create_patches(spark.createDataFrame(rows, "id long, source binary, target binary"), "IPS").collect()
+    assert [(r.id, r.patch is None, r.error) for r in made] == [(1, True, "the target is beyond the format"), (2, False, None)]
+
+
+def ppf3(*records):
+    head = b"PPF30" + bytes([2]) + b" " * 50 + bytes([0, 0, 1, 0])
+    return head + b"".join(struct.pack("<qB", off, len(new)) + new + old for off, new, old in records)
+
+
+def test_undo_of_ppf3_refuses_what_does_not_fit_and_goes_forward():
+    back = lambda *records: undo(parse("PPF3", ppf3(*records)), b"0123456789")
+    assert back((2, b"xx", b"AB")) == b"01AB456789"
+    assert back((2, b"xx", b"AB"), (3, b"yy", b"CD")) == b"01ACD56789"
+    for bad in ((-3, b"xx", b"AB"), (9, b"xx", b"AB")):
+        with pytest.raises(WireError):
+            back(bad)
+
+
+def test_an_envelope_that_copies_past_its_size_is_refused():
+    data = b"Yay0" + struct.pack(">III", 3, 20, 22) + struct.pack(">I", 0x80000000) + struct.pack(">H", 0xE000) + b"a"
+    with pytest.raises(WireError):
+        containers.yay0(data)
+    assert containers.yay0(data.replace(struct.pack(">III", 3, 20, 22), struct.pack(">III", 17, 20, 22))) == b"a" * 17
+
+
+def test_crc16_by_its_definition():
+    import binascii
+
+    from deltaloom.functions import checksums
+
+    for data in (b"", b"123456789", bytes(range(256)) * 9):
+        c = 0xFFFF
+        for b in data:
+            c ^= b << 8
+            for _ in range(8):
+                c = (c << 1 ^ 0x1021 if c & 0x8000 else c << 1) & 0xFFFF
+        assert checksums.crc16(data) == c == binascii.crc_hqx(data, 0xFFFF)
+
+
+def test_xdelta1_of_compressed_files_is_refused():
+    made = create("xdelta1", b"hello there, world " * 20, b"hello where, world " * 20)
+    flags = int.from_bytes(made[8:12], "big")
+    for bit, said in ((2, "the source was"), (4, "the target was"), (6, "both were")):
+        with pytest.raises(WireError, match=said):
+            run(parse("xdelta1", made[:8] + (flags | bit).to_bytes(4, "big") + made[12:]), b"hello there, world " * 20)
