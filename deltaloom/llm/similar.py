@@ -41,7 +41,7 @@ from .components import components
 from .substring import mix
 
 WORDS, FAR = 4, 64
-FEW, TILE, BLOCK, HUBS = 32, 4_096, 512, 4
+FEW, TILE, BLOCK, HUBS = 8, 4_096, 512, 4
 #: Similarities are whole thousandths, so that all comparisons are of whole numbers.
 UNIT = 1000
 U = np.uint64
