@@ -210,7 +210,8 @@ def sets(docs: DataFrame, size: int) -> DataFrame:
 
 
 def met(nodes: DataFrame, least: int, tile: int, few: int, plan_=plan) -> DataFrame:
-    """(a, b, block, grp): candidates, and members (a) of the large groups (grp) of cells. Staged."""
+    """(a, b, block, grp): candidates, and members of the large groups (grp) of cells: b where it is a candidate of the
+    group's star, else a alone. Staged."""
     masks = grid_masks(*plan_(nodes.count()))
     step = max(1, (1 << 16) // len(masks))
 
@@ -237,13 +238,16 @@ def met(nodes: DataFrame, least: int, tile: int, few: int, plan_=plan) -> DataFr
         for part in whole_keys(batches):
             key, node = part.column("key").to_numpy(), part.column("node").to_numpy()
             a, b, block, large = grouped(key, _columns(part), part.column("n").to_numpy(), least, few)
+            name = mix(key.view(U) * U(3) + mix(node[large].view(U))).view(np.int64)
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b]), pa.array(block), pa.nulls(len(a), pa.int64())], names=["a", "b", "block", "grp"])
-            of = np.flatnonzero(large >= 0)
+                group = pa.array(name[b], mask=block == 0)
+                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b]), pa.array(block), group], names=["a", "b", "block", "grp"])
+            alone = large >= 0
+            alone[b[block > 0]] = False
+            of = np.flatnonzero(alone)
             if len(of):
-                name = mix(key[of].view(U) * U(3) + mix(node[large[of]].view(U))).view(np.int64)
                 none = pa.nulls(len(of), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(node[of]), none, none, pa.array(name)], names=["a", "b", "block", "grp"])
+                yield pa.RecordBatch.from_arrays([pa.array(node[of]), none, none, pa.array(name[of])], names=["a", "b", "block", "grp"])
 
     dealt = cells.repartition("key").sortWithinPartitions("key")
     return stage(dealt.mapInArrow(tidy(run), "a long, b long, block long, grp long"), "met")
@@ -364,7 +368,7 @@ def links(docs: DataFrame, size: int, nodes: DataFrame, least: int, tile: int =
     hubs = F.slice(F.array_sort(F.collect_list(F.struct("a", "block"))), 1, HUBS)
     stars = pairs.filter("block > 0").groupBy("b").agg(hubs.alias("h")).select("b", F.explode("h").alias("h")).select("h.a", "b", "h.block")
     pairs = stage(pairs.filter("block = 0").unionByName(stars), "pairs")
-    members = stage(found.filter("grp IS NOT NULL").select(F.col("grp").alias("key"), F.col("a").alias("node")), "members")
+    members = stage(found.filter("grp IS NOT NULL").select(F.col("grp").alias("key"), F.coalesce("b", "a").alias("node")), "members")
     drop_staged(found)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(members.select("node"))
     whole = whole_sets(docs, size, nodes, stage(ends.distinct(), "candidates"))
