@@ -13,7 +13,8 @@ lengths and digests are shuffled for them. No group is larger than a range holds
 Defined results: null url and html count as empty, a null page id is written as nothing and comes first.
 Rows that are repeated whole are one record, with their number in ``copies``. Pages that share an id but
 differ are records of their own, ordered by digest. Empty tables make an empty archive, and empty archives
-are equal. Other columns are ignored; pages are read whole.
+are equal. Other columns are ignored; pages are read whole, and twice, so they should be a table that gives
+the same rows each time.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._io import drop_staged, stage
+from ._io import stage
 
 RANGE = 1 << 16
 FANOUT = 16
@@ -45,8 +46,9 @@ def record(page_id: Column, url: Column, html: Column) -> Column:
 def archive(pages: DataFrame) -> DataFrame:
     """(page_id, offset, length, copies, sha256, record), written to the shared folder."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    # made twice, for the keys and for the archive: writing them in between would hold every byte once more
     rows = pages.select("page_id", record(text("page_id"), text("url"), text("html")).alias("record"))
-    rows = stage(rows.withColumn("sha256", F.sha2("record", 256)), "records")
+    rows = rows.withColumn("sha256", F.sha2("record", 256))
     # one row per distinct record, without its bytes
     keys = rows.groupBy("page_id", "sha256").agg(F.count(F.lit(1)).alias("copies"), F.max(F.octet_length("record")).cast("long").alias("length"))
     keys = stage(keys.repartitionByRange("page_id", "sha256").withColumn("part", F.spark_partition_id()), "keys")
@@ -63,9 +65,7 @@ def archive(pages: DataFrame) -> DataFrame:
     one = rows.join(placed, rows["page_id"].eqNullSafe(placed["id"]) & (rows["sha256"] == placed["digest"]))
     first = one.filter("copies = 1").select("page_id", "offset", "length", "copies", "sha256", "record")
     again = one.filter("copies > 1").groupBy("page_id", "offset", "length", "copies", "sha256").agg(F.first("record").alias("record"))
-    out = stage(first.unionByName(again), "archive")
-    drop_staged(rows)
-    return out
+    return stage(first.unionByName(again), "archive")
 
 
 def leaves(replica: DataFrame) -> DataFrame:

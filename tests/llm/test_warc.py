@@ -68,3 +68,11 @@ def test_only_branches_that_differ_change(spark):
     one, two = warc.tree(a, last), warc.tree(hurt, last)
     assert len(one) == len(two) >= 3 and one[-1].count() == 1
     assert [warc.differing(x, y).count() for x, y in zip(one, two)] == [1] * len(one)
+
+
+def test_records_are_written_once(spark, monkeypatch):
+    """What an archive writes: keys without bytes, and the records as they stay."""
+    wide, stage = [], warc.stage
+    monkeypatch.setattr(warc, "stage", lambda df, label: wide.append(label) or stage(df, label) if "record" in df.columns else stage(df, label))
+    assert warc.archive(pages(spark, ROWS)).count() == len(brute_archive(ROWS))
+    assert wide == ["archive"]
