@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._io import drop_staged, hot_join, stage
+from ._io import drop_staged, hot_join, release_driver, stage
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -34,6 +34,7 @@ def components(links: DataFrame) -> DataFrame:
         same = _digest(new) == _digest(now)
         drop_staged(now)
         now = new
+        release_driver()
         if same:
             break
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

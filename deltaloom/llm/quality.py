@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._io import byte_slices, least_hashed, release, stage, tidy
+from ._io import byte_slices, least_hashed, release, release_driver, stage, tidy
 
 #: Not word characters, and capitals, in bytes.
 WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -489,4 +489,6 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
-    return score(docs, learn(docs, labels, sizes))
+    model = learn(docs, labels, sizes)
+    release_driver()  # only now nothing holds the sample any more
+    return score(docs, model)
