@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .operators import convert, cursors, records, regions, verify
 from .plans import dims
+from .plans.staging import dropped, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -362,12 +363,9 @@ CARRIES = {
 def edited_documents(spark, sf_dir):
     """(pair_id, source, target): every document's bytes, and the same with its vowels in capitals, for formats
     that cannot change an image's size."""
-    from .operators import images
-
-    docs = table(spark, sf_dir, "documents")
-    shouted = docs.withColumn("text", F.translate("text", "aeiou", "AEIOU"))
-    both = [images.documents(d).withColumnRenamed("bytes", n) for d, n in ((docs, "source"), (shouted, "target"))]
-    return both[0].join(both[1], "image_id").withColumnRenamed("image_id", "pair_id")
+    text = F.coalesce("text", F.lit(""))
+    source, target = (F.encode(t, "UTF-8") for t in (text, F.translate(text, "aeiou", "AEIOU")))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pair_id"), source.alias("source"), target.alias("target"))
 
 
 EDITS = """, pr AS (SELECT doc_id AS pair_id, encode(coalesce(text, '')) AS source, encode(translate(coalesce(text, ''), 'aeiou', 'AEIOU')) AS target FROM documents)
@@ -528,6 +526,19 @@ def reassembled(chunked: DataFrame, key: str) -> DataFrame:
     return chunked.groupBy(key).agg(F.unhex(F.array_join(parts, "")).alias("bytes"))
 
 
+def cut_hunks(found: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(image_id, off, ordinal, old, new) of hunks and the pairs they are of. An image meets its hunks as one row and
+    is cut there: joined hunk by hunk, it would be sorted and buffered as often as it has hunks."""
+    hunks = found.groupBy("pair_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("hunks"))
+
+    def cut(h):
+        at, size = (h["start"] + 1).cast("int"), (h["end"] - h["start"]).cast("int")
+        return F.struct(h["start"].alias("off"), F.col("source").substr(at, size).alias("old"), F.col("target").substr(at, size).alias("new"))
+
+    each = pairs.join(hunks, "pair_id").select(F.col("pair_id").alias("image_id"), F.posexplode(F.transform("hunks", cut)).alias("at", "h"))
+    return each.select("image_id", "h.off", (F.col("at") + 1).alias("ordinal"), "h.old", "h.new")
+
+
 def overlaid(how: str):
     """Hunks of edited documents, put on the chunks of the originals."""
 
@@ -536,20 +547,19 @@ def overlaid(how: str):
 
         pairs = edited_documents(spark, sf_dir)
         source, target = (diff.chunked(pairs, "pair_id", c, 4096) for c in ("source", "target"))
-        size = (F.col("end") - F.col("start")).cast("int")
-        at = (F.col("start") + 1).cast("int")
-        found = diff.hunks(source, target, 5, chunk=4096).join(pairs, "pair_id")
-        found = found.withColumn("ordinal", F.row_number().over(Window.partitionBy("pair_id").orderBy("start")))
-        old, new = (F.col(c).substr(at, size) for c in ("source", "target"))
+        found = staged(diff.hunks(source, target, 5, chunk=4096), "hunks")
+        base = cut_hunks(found, pairs)
         images = source.withColumnRenamed("pair_id", "image_id")
-        base = found.select(F.col("pair_id").alias("image_id"), F.col("start").alias("off"), "ordinal", old.alias("old"), new.alias("new"))
         if how == "overlay":
             # what is written twice ends as what is written last
             wrong = base.select("image_id", "off", F.lit(-1).alias("ordinal"), F.col("old").alias("payload"))
             done = apply.overlay_chunks(images, base.select("image_id", "off", "ordinal", F.col("new").alias("payload")).unionByName(wrong), 4096)
         else:
-            masks = base.select("image_id", "off", "ordinal", "new", "old").select("image_id", "off", "ordinal", mask(F.col("old"), F.col("new")).alias("payload"))
-            done = apply.xor_chunks(images, masks, 4096)
+            masks = base.select("image_id", "off", "ordinal", mask(F.col("old"), F.col("new")).alias("payload"))
+            masks = staged(masks, "masks")
+            dropped(found)
+            done = staged(apply.xor_chunks(images, masks, 4096), "patched")
+            dropped(masks)
         return reassembled(done, "image_id").select(F.col("image_id").alias("pair_id"), F.sha1("bytes").alias("sha1"))
 
     QUERIES[f"{how}_chunks"] = f
@@ -558,11 +568,16 @@ def overlaid(how: str):
 
 def mask(a, b):
     """The exclusive or of two byte columns."""
-    from .operators.create import masked
+    import numpy as np
+    import pandas as pd
 
     @F.pandas_udf("binary")
     def f(x, y):
-        return x.combine(y, lambda p, q: masked(p, q, 0, len(q)))
+        # all rows at once; a shorter first column counts as zeros beyond its end
+        one = b"".join([p[: len(q)].ljust(len(q), b"\0") for p, q in zip(x, y)])
+        both = (np.frombuffer(one, np.uint8) ^ np.frombuffer(b"".join(y), np.uint8)).tobytes()
+        ends = np.cumsum([0, *map(len, y)]).tolist()
+        return pd.Series([both[i:j] for i, j in zip(ends, ends[1:])], dtype=object)
 
     return f(a, b)
 

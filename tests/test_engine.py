@@ -8,6 +8,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from deltaloom import queries
 from deltaloom.functions import checksums, display, text
 from deltaloom.operators import apply, create, diff, images, normalize, records, regions, verify
 from deltaloom.plans import explain
@@ -192,3 +193,31 @@ def test_inbox(spark, tmp_path):
     heads = spark.read.parquet(f"file://{out}/headers").collect()
     assert sorted(r.format or "" for r in heads) == ["", "BPS", "IPS", "UPS"]
     assert spark.read.parquet(f"file://{out}/records").select("patch_id").distinct().count() == 3
+
+
+def test_hunks_are_cut_without_copies_of_their_images(spark, sf):
+    pairs = queries.edited_documents(spark, sf)
+    assert "Join" not in pairs._jdf.queryExecution().executedPlan().toString()
+    some = spark.createDataFrame([(1, b"abcdefgh", b"aBCdefGH"), (2, b"same", b"same")], "pair_id long, source binary, target binary")
+    hunks = spark.createDataFrame([(1, 6, 8), (1, 1, 3)], "pair_id long, start long, end long")
+    got = queries.cut_hunks(hunks, some)
+    rows = [(r.image_id, r.off, r.ordinal, bytes(r.old), bytes(r.new)) for r in got.orderBy("off").collect()]
+    assert rows == [(1, 1, 1, b"bc", b"BC"), (1, 6, 2, b"gh", b"GH")]
+    plan = got.select(queries.mask(F.col("old"), F.col("new")))._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Arrow" in x and "source" in x]
+
+
+def test_gaps_are_closed_inside_chunks(spark):
+    """What leaves a chunk is a row for each hunk, not for each run of bytes."""
+    images = spark.createDataFrame([(1, bytes(4000), b"\1\0\0" * 1000 + b"\0" * 7 + b"\1" * 993)], "pair_id long, source binary, target binary")
+    a, b = (diff.chunked(images, "pair_id", c, 1024) for c in ("source", "target"))
+    assert diff.changed_runs(a, b, chunk=1024).count() > 1000
+    assert diff.changed_runs(a, b, chunk=1024, gap=5).count() == 5
+    assert sorted(map(tuple, diff.hunks(a, b, 5, chunk=1024).collect())) == [(1, 0, 2998), (1, 3007, 4000)]
+
+
+def test_masks_of_unequal_columns(spark):
+    rows = [(b"abc", b"ABC"), (b"", b"xy"), (b"abcd", b"ab"), (b"q", b"")]
+    df = spark.createDataFrame(rows, "a binary, b binary")
+    got = [bytes(r[0]) for r in df.select(queries.mask(F.col("a"), F.col("b"))).collect()]
+    assert got == [create.masked(a, b, 0, len(b)) for a, b in rows]
