@@ -98,3 +98,11 @@ def test_ties_and_repeated_rows(spark):
     for r in got:
         seen.setdefault(r.doc.doc_id, set()).add((r.score, r.keep))
     assert len(got) == 580 and all(len(x) == 1 for x in seen.values())
+
+
+def test_memory_is_given_back_once_the_sample_is_dropped(monkeypatch):
+    calls = []
+    for name in ("learn", "release_driver", "score"):
+        monkeypatch.setattr(quality, name, lambda *_, name=name: calls.append(name))
+    quality.classify(None, None)
+    assert calls == ["learn", "release_driver", "score"]
