@@ -35,10 +35,12 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import filterfalse
 from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,6 +57,11 @@ HEAD = struct.Struct("<4sIIIIIQQ")
 CACHE = 256 << 20
 
 
+#: Words that the model is given at once: its merges of a longer string take longer each.
+TOGETHER = 16
+#: Bytes of texts that are encoded at once.
+SLICE = 8 << 20
+
 #: Bytes that never occur in UTF-8.
 NEVER = (0xC0, 0xC1, *range(0xF5, 0x100))
 
@@ -115,32 +122,30 @@ class LibraryEncoder:
         return b"".join([self.word(w.translate(self.letters)) for w in self.by_pattern(" " + p)])
 
     def learn(self, pieces: set[str]) -> None:
-        known = self.known
+        known, before = self.known, len(self.known)
         pieces.discard("")
-        alpha = {p for p in pieces if p.isalpha()}
-        rest = pieces - alpha
+        lines, rest, alpha = {}, pieces, set()
         if self.plain:
+            alpha, rest = set(filter(str.isalpha, pieces)), [*filterfalse(str.isalpha, pieces)]
             # a line feed between others is a word of its own, and no blank belongs to what follows it
             lines = {p: p.split("\n") for p in rest if "\n" in p}
             lines = {p: x for p, x in lines.items() if all([y and not y[0].isspace() and not y[-1].isspace() for y in x])}
-            rest.difference_update(lines)
+            rest = {p for p in rest if p not in lines}
             rest.update([x[0] for x in lines.values() if x[0] not in known])
-            alpha.update([p for p in rest if p.isalpha()])
-            rest -= alpha
-            marked = [p for p in rest if p[-1] in MARKS and p[:-1].isalpha()]
-            alpha.update([p[:-1] for p in marked if p[:-1] not in known])
+            alpha.update(filter(str.isalpha, rest))
+            marked = [(p, p[:-1]) for p in rest if p[-1] in MARKS]
+            marked = [(p, stem) for p, stem in marked if stem.isalpha()]
+            alpha.update([stem for _, stem in marked if stem not in known])
             self.learn_words(list(alpha))
             tails = {mark: self.word(mark) for mark in MARKS}
-            known.update([(p, known[p[:-1]] + tails[p[-1]]) for p in marked])
-            rest.difference_update(marked)
-        else:
-            lines, rest = {}, pieces
+            known.update([(p, known[stem] + tails[p[-1]]) for p, stem in marked])
+            rest = [p for p in rest if p not in known]
         for p in rest:
             if not p[0].isspace() and not p[-1].isspace():
                 known[p] = self.piece(p)
         for p, x in lines.items():
             known[p] = b"".join([known[x[0]], *[self.line(y) for y in x[1:]]])
-        self.held += 220 * (len(pieces) + len(alpha) + len(rest))
+        self.held += 220 * (len(known) - before)
 
     def line(self, p: str) -> bytes:
         """The ids of a line feed and what follows it."""
@@ -158,41 +163,63 @@ class LibraryEncoder:
             return
         spelt = [p if p.isascii() else p.translate(letters) for p in alpha]
         gap, get_id = self.between + "\u0120", attrgetter("id")
-        for k in range(0, len(alpha), 256):
-            ids = np.array([*map(get_id, self.model("\u0120" + gap.join(spelt[k : k + 256]) + self.between))], np.uint32)
-            raw, at = ids.tobytes(), 0
-            for p, end in zip(alpha[k : k + 256], (4 * np.flatnonzero(ids == self.between_id)).tolist()):
-                known[p] = raw[at:end]
-                at = end + 4
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        ids = array("I")
+        for k in range(0, len(alpha), TOGETHER):
+            ids.extend(map(get_id, self.model("\u0120" + gap.join(spelt[k : k + TOGETHER]) + self.between)))
+        raw, ends = ids.tobytes(), 4 * np.flatnonzero(np.frombuffer(ids, np.uint32) == self.between_id)
+        starts = np.append(0, ends[:-1] + 4) if len(ends) else ends
+        known.update(zip(alpha, [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]))
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[np.ndarray]:
+        """The ids of each text. Arrow splits the texts and tells the distinct pieces, which are looked up once each; NumPy
+        puts their ids in the pieces' places."""
         if self.held > CACHE:
             self.known.clear()
             self.spelt.clear()
             self.held = 0
-        get, new, drafts = self.known.get, set(), []
-        for t in texts:
-            t = t or ""
-            if any(s in t for s in self.special):
-                drafts.append((t, None, None))
-                continue
-            first, *rest = t.split(" ")
-            found = [*map(get, rest)]
-            lacking = [i for i, x in enumerate(found) if x is None] if None in found else []
-            new.update([rest[i] for i in lacking])
-            drafts.append((t, [first, *rest], (found, lacking)))
-        self.learn(new)
-        out = []
-        for t, pieces, more in drafts:
-            if pieces is not None and not pieces[0][-1:].isspace():
-                found, lacking = more
-                for i in lacking:
-                    found[i] = get(pieces[i + 1])
-                if not lacking or None not in found:  # else there is white space beside a blank
-                    head = self.library(pieces[0]).tobytes()
-                    out.append(np.frombuffer(head + b"".join(found), "<u4"))
-                    continue
-            out.append(self.library(t))
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if not len(texts):
+            return []
+        texts = pc.fill_null(texts, "")
+        split = pc.split_pattern(texts, " ")
+        start = split.offsets.to_numpy().astype(np.int64)
+        pieces = split.values.slice(start[0], start[-1] - start[0]).dictionary_encode()
+        start, which = start - start[0], pieces.indices.to_numpy()
+        # a text's first piece follows no blank
+        later = np.ones(len(which), bool)
+        later[start[:-1]] = False
+        used = np.zeros(len(pieces.dictionary), bool)
+        used[which[later]] = True
+        # no piece holds a blank, so that all are had as one string
+        words = pa.ListArray.from_arrays(pa.array([0, used.sum()], pa.int32()), pieces.dictionary.filter(pa.array(used)))
+        words = pc.binary_join(words, " ")[0].as_py().split(" ") if used.any() else []
+        get, none = self.known.get, b""
+        found = [*map(get, words)]
+        if None in found:
+            lacking = [i for i, x in enumerate(found) if x is None]
+            self.learn({words[i] for i in lacking})
+            for i in lacking:
+                found[i] = get(words[i], none)
+        size = np.zeros(len(used), np.int64)
+        size[used] = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat, first = np.frombuffer(none.join(found), "<u4"), np.cumsum(size) - size
+        # white space beside a blank, or the string of a special token, leaves a text to the library
+        odd = size == 0
+        whole = np.add.reduceat(odd[which] & later, start[:-1]) > 0
+        for name in self.special:
+            whole |= pc.match_substring(texts, name).to_numpy(zero_copy_only=False)
+        n = np.where(later & ~np.repeat(whole, np.diff(start)), size[which], 0)
+        end = np.cumsum(n)
+        ids = flat[np.repeat(first[which] - end + n, n) + np.arange(end[-1])]
+        ends = end[start[1:] - 1].tolist()
+        heads = pieces.dictionary.take(pieces.indices.take(pa.array(start[:-1]))).to_pylist()
+        out, at = [], 0
+        for k, (head, upto, alone) in enumerate(zip(heads, ends, whole.tolist())):
+            if alone or head[-1:].isspace() and start[k + 1] > start[k] + 1:
+                out.append(self.library(texts[k].as_py()))
+            else:
+                out.append(np.concatenate([self.library(head), ids[at:upto]]))
+            at = upto
         return out
 
 
@@ -305,8 +332,10 @@ def repair(s: np.ndarray, size: int, least: int = LEAST) -> tuple[np.ndarray, li
         if whole:
             now = np.cumsum(keep) - 1
             fresh = now[at]
-            places = np.concatenate([now[every[~changed[every] & ~changed[every + 1]]], fresh, fresh - 1])
-            places = np.unique(places[(places >= 0) & (places < len(s) - 1)])
+            places = np.zeros(len(s) + 1, bool)  # the last is for what would be before the first
+            for x in (now[every[~changed[every] & ~changed[every + 1]]], fresh, fresh - 1):
+                places[x] = True
+            places = np.flatnonzero(places[: len(s) - 1])
     return s, rounds
 
 
@@ -430,9 +459,9 @@ def write(docs: DataFrame, path: str | None = None, end_id: int = 2, shard: int
             return out
 
         for batch in batches:
-            for some in byte_slices(batch):
+            for some in byte_slices(batch, most=SLICE):
                 part = some.column(3)[0].as_py()
-                for doc, found in zip(some.column(0).to_pylist(), enc.encode(some.column(1).to_pylist())):
+                for doc, found in zip(some.column(0).to_pylist(), enc.encode(some.column(1))):
                     ids.append(doc)
                     held.append(np.append(found, np.uint32(end_id)))
                     size += len(found) + 1

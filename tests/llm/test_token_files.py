@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -98,3 +99,24 @@ def test_pieces_and_words(spark):
     texts = ["go " + p for p in pieces] + ["go " + " ".join(pieces)] * 2
     for text, ids in zip(texts, enc.encode(texts)):
         assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_a_piece_is_looked_up_once_for_many_texts():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *args):
+            self.asked += 1
+            return super().get(*args)
+
+    tokenizer = Tokenizer.from_file(PATH)
+    with open(PATH, encoding="utf-8") as file:
+        enc = token_files.LibraryEncoder(file.read())
+    enc.known = Counted()
+    texts = ["first " + "one two Three. " * 500 + "end", None, "", " ", "a  b", "a\n b", "two <|endoftext|> one", "one\n", "\n two"] * 20
+    for some in (texts, pa.array(texts), pa.array(texts).slice(3, 50)):
+        want = some if isinstance(some, list) else some.to_pylist()
+        for text, ids in zip(want, enc.encode(some), strict=True):
+            assert ids.tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids, text
+    assert enc.known.asked < 100 and enc.encode([]) == []
+    assert enc.held < 2000 * len(enc.known)
