@@ -120,3 +120,33 @@ def test_a_piece_is_looked_up_once_for_many_texts():
             assert ids.tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids, text
     assert enc.known.asked < 100 and enc.encode([]) == []
     assert enc.held < 2000 * len(enc.known)
+
+
+def test_a_new_word_costs_no_entry_and_few_calls():
+    with open(PATH, encoding="utf-8") as file:
+        enc = token_files.LibraryEncoder(file.read())
+    calls, model, rnd = [], enc.model, random.Random(3)
+    enc.model = lambda x: calls.append(x) or model(x)
+    word = lambda: "".join(rnd.choices("abcdéeiostu", k=rnd.randint(4, 9)))
+    texts = [" ".join([f"{word()}{rnd.choice(['', ',', '.', chr(10) + word()])}" for _ in range(400)]) for _ in range(20)]
+    for text, ids in zip(texts, enc.encode(texts), strict=True):
+        assert ids.tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
+    # the first words of the texts alone are remembered, and the model gets 16 distinct words a call
+    distinct = {w for t in texts for w in t.replace("\n", " ").replace(",", "").replace(".", "").split()}
+    assert len(enc.known) <= len(texts) and len(calls) <= 2 * len(distinct) / 16 + 2
+
+
+PARTS = ["a", "Z", "é", "'", "'s", "'ll", "'re", "'d", "'x", "1", "½", "-", ".", "!!", "\n", "\n\n", "\t", "\r\n", "\x1c", "\x85", "\xa0", "\u2028", "\u3000", "日", "한", "\u0301", "՘", "👍", "the", "\0", "<|", "<|endoftext|>", "x" * 70, " ", " ", " ", " "]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PARTS), max_size=14).map("".join), max_size=6))
+def test_any_mix_of_characters(texts):
+    enc = encoder()
+    for text, ids in zip(texts, enc.encode(texts), strict=True):
+        assert ids.tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def encoder():
+    with open(PATH, encoding="utf-8") as file:
+        return token_files.library_encoder(file.read())
